@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op3_language
 from .packing import op6_packing
+from .quality import OP10_SQL, op10_quality
+from .secret_scan import op7_secrets
 from .token_blocks import op1_token_blocks
 from .token_counts import op8_token_counts
 
@@ -14,8 +17,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_blocks,
+        op3_language,
         op6_packing,
+        op7_secrets,
         op8_token_counts,
+        op10_quality,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op10_quality": OP10_SQL}
