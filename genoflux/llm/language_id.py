@@ -1,8 +1,10 @@
 """Operator 3: language by compression.
 
-Each language has a zstandard raw-content dictionary of text in that language.  A text is cut into short blocks, every
-block is compressed with every dictionary, and the language whose blocks are smallest in total wins; short blocks keep
-the dictionary, not the text's own repetitions, in charge.  A narrow margin between the two smallest is a rejection.
+Each language has a zstandard raw-content dictionary of text in that language, letters only and in lower case.  A text,
+reduced in the same way, is cut into short blocks, every block is compressed with every dictionary, and the language
+whose blocks are smallest in total wins; short blocks keep the dictionary, not the text's own repetitions, in charge.  A
+short text is measured by what it adds to a primer in each language.  A narrow margin between the two smallest is a
+rejection.
 
 Learning: dictionaries are made of ``SLICE`` characters at a hash-chosen place of at most ``SAMPLE`` labelled rows for each
 language, which bounds the model by ``DICTIONARIES`` bytes in all.  Predicting reads whole texts and nothing but texts.
@@ -27,15 +29,20 @@ from pyspark.sql import types as T
 from .common import crc_mod, slices, table
 
 #: Labelled rows for each language, and characters taken from each.
-SAMPLE, SLICE = 192, 600
+SAMPLE, SLICE = 400, 600
 #: Bytes of one dictionary, and of all together.
-DICTIONARY, DICTIONARIES = 64 * 1024, 8 * 1024 * 1024
-#: Bytes of a block.
-BLOCK = 2048
-#: Bytes by which the second smallest has to be larger, as a share of the smallest less what any compression costs.
+DICTIONARY, DICTIONARIES = 128 * 1024, 8 * 1024 * 1024
+#: Bytes of a block; shorter texts than SHORT follow a primer of PRIMER bytes from the dictionary's end.
+BLOCK, SHORT, PRIMER = 512, 256, 2048
+#: Share of the second smallest size by which the smallest has to be less.
 MARGIN = 0.02
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def reduced(text: str) -> bytes:
+    """Letters in lower case; what lies between them becomes a space."""
+    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -54,35 +61,40 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     most = min(DICTIONARY, DICTIONARIES // len(counts))
     parts: dict[str, list[str]] = {}
     for r in few.orderBy("lang", "at").collect():  # SAMPLE rows of SLICE characters for each language
-        parts.setdefault(r["lang"], []).append(r["part"])
-    return {lang: "\n".join(x).encode()[:most] for lang, x in sorted(parts.items())}
+        parts.setdefault(r["lang"], []).append(reduced(r["part"]))
+    return {lang: b"\n".join(x)[:most] for lang, x in sorted(parts.items())}
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3) -> None:
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.langs = sorted(dictionaries)
-        self.squeeze = []
+        params = zstandard.ZstdCompressionParameters.from_level(5, min_match=3, window_log=18, search_log=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.squeeze, self.primers, self.primed = [], [], []
         for x in self.langs:
-            words = zstandard.ZstdCompressionDict(dictionaries[x], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=level)
-            self.squeeze.append(zstandard.ZstdCompressor(dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            n = min(PRIMER, len(dictionaries[x]) // 2)
+            words, primer = dictionaries[x][: len(dictionaries[x]) - n], dictionaries[x][len(dictionaries[x]) - n :] + b" "
+            words = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            self.squeeze.append(zstandard.ZstdCompressor(dict_data=words, compression_params=params).compress)
+            self.primers.append(primer)
+            self.primed.append(len(self.squeeze[-1](primer)))
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the margin is too narrow."""
-        if not text or not self.langs or not _LETTER.search(text):
+        raw = reduced(text) if text and self.langs else b""
+        if not raw:
             return "und", 0.0, True
-        raw = text.encode("utf-8", "surrogatepass")
-        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        frame = 6 * len(blocks)  # headers
-        sizes = [max(1, sum(len(f(x)) for x in blocks) - frame) for f in self.squeeze]
+        if len(raw) < SHORT:
+            sizes = [max(1, len(f(p + raw)) - n) for f, p, n in zip(self.squeeze, self.primers, self.primed)]
+        else:
+            blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+            sizes = [sum(len(f(x)) for x in blocks) for f in self.squeeze]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         if len(sizes) == 1:
             return self.langs[0], 1.0, False
         second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
-        # bytes saved are evidence: 8 bits each, at a discount as neighbouring bytes aren't independent
+        # bytes saved are evidence, at a discount as neighbouring bytes aren't independent
         score = 1 / sum(math.exp(max(-700.0, (sizes[best] - s) / 4)) for s in sizes)
-        return self.langs[best], score, margin < MARGIN or second - sizes[best] < 2
+        return self.langs[best], score, second - sizes[best] < MARGIN * second
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
