@@ -10,15 +10,20 @@ white space goes to the library whole.  ``tests/llm/test_tokens.py`` compares wi
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
 import numpy as np
 import public_tokenizers
 
 #: Entries after which a worker's table of encoded chunks starts afresh.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_500_000
 #: Longest chunk, in characters, that is worth keeping.
 CACHE_CHARS = 64
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
+
 _ODD_FOR_BYTES = re.compile(r"[ \n][ \n]|[^\S \n]")
 _ODD_FOR_WORDS = re.compile(r"[\x1c-\x1f\x85]")
 _LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
@@ -62,7 +67,7 @@ class Encoder(dict):
                 words.add(x)
         todo = list(words)
         for x, e in zip(todo, self.tokenizer.encode_batch_fast([self._surface(x) for x in todo], add_special_tokens=False)):
-            self[x] = np.asarray(e.ids, dtype="<u4").tobytes()
+            self[x] = array("I", e.ids).tobytes()
         for x, (a, b) in pairs.items():
             self[x] = self[a] + self.marks[b]
 
