@@ -33,30 +33,66 @@ from .tokens import encoder
 
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
+#: Share of a block's differences that its width has to hold.
+PERCENTILE = 98.0
 WRITTEN = "shard int, segment int, shard_start bigint, n_docs bigint, n_tokens bigint, payload binary"
 
 
-def pack(ids: np.ndarray, percentile: float = 90.0, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
+def _places(w: int) -> list[tuple[int, int, int]]:
+    """Of each of 32 values of w bits: its place, the 32-bit word that it starts in, and its first bit there."""
+    return [(k, k * w // 32, k * w % 32) for k in range(32)]
+
+
+def _pack_rows(v: np.ndarray, w: int) -> np.ndarray:
+    """Rows of values below 2 ** w as w bits each, low bit first."""
+    v = v.reshape(-1, 32)
+    out = np.zeros((len(v), max(w, 1)), "<u4")
+    for k, word, bit in _places(w) if w else ():
+        out[:, word] |= v[:, k] << np.uint32(bit)
+        if bit + w > 32:
+            out[:, word + 1] |= v[:, k] >> np.uint32(32 - bit)
+    return out[:, :w]
+
+
+def _unpack_rows(body: np.ndarray, w: int) -> np.ndarray:
+    words, mask = body.reshape(-1, w), np.uint32((1 << w) - 1)
+    out = np.empty((len(words), 32), "<u4")
+    for k, word, bit in _places(w):
+        x = words[:, word] >> np.uint32(bit)
+        if bit + w > 32:
+            x |= words[:, word + 1] << np.uint32(32 - bit)
+        out[:, k] = x & mask
+    return out
+
+
+def pack(ids: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) -> tuple[bytes, np.ndarray]:
     """The data of a segment and its index."""
     if not len(ids):
         return b"", np.zeros(1, "<u4")
     n_blocks = -(-len(ids) // block)
-    v = np.resize(ids[-1:], n_blocks * block).astype("<u4")
+    v = np.full(n_blocks * block, ids[-1], "<u4")
     v[: len(ids)] = ids
     v = v.reshape(n_blocks, block)
     low = v.min(axis=1)
     diff = v - low[:, None]
-    at = np.partition(diff, k := min(block - 1, int(block * percentile / 100)), axis=1)[:, k]
-    width = np.frompyfunc(int.bit_length, 1, 1)(at.astype(object)).astype(np.uint8)
+    # the least width that enough differences fit in
+    width, wanted = np.full(n_blocks, int(diff.max()).bit_length(), np.uint8), block * percentile / 100
+    for w in range(int(width[0]) - 1, -1, -1):
+        fits = np.count_nonzero(diff < np.uint32(1 << w), axis=1) >= wanted
+        width[fits] = w
+        if not fits.any():
+            break
     packed: list[bytes] = [b""] * n_blocks
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(diff[rows].view(np.uint8), bitorder="little").reshape(len(rows), block, 32)[:, :, :w]
-        for i, body in zip(rows, np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")):
+        inside = diff[rows] & np.uint32((1 << int(w)) - 1)
+        for i, body in zip(rows, _pack_rows(inside, int(w)).reshape(len(rows), -1)):
             packed[i] = body.tobytes()
+    past = (diff >> np.minimum(width, 31)[:, None]) * (width < 32)[:, None]
+    many = np.count_nonzero(past, axis=1)
     out, starts, end = [], [0], 0
     for i in range(n_blocks):
-        over = np.flatnonzero(diff[i] >> np.uint32(width[i])) if width[i] < 32 else np.empty(0, int)
+        over = np.flatnonzero(past[i]) if many[i] else np.empty(0, int)
         body = b"".join((low[i].tobytes(), width[i].tobytes(), np.uint16(len(over)).tobytes(), packed[i], over.astype("<u2").tobytes(), diff[i][over].tobytes()))
         out.append(body)
         starts.append(end := end + len(body))
@@ -72,11 +108,8 @@ def unpack(data: bytes, starts: np.ndarray, n: int, block: int = BLOCK, first: i
         by_width.setdefault(data[starts[i] + 4], []).append(i)
     for w, rows in by_width.items():
         size = block * w // 8
-        bits = np.zeros((len(rows), block, 32), np.uint8)
-        if w:
-            body = np.frombuffer(b"".join(data[starts[i] + 7 : starts[i] + 7 + size] for i in rows), np.uint8)
-            bits[:, :, :w] = np.unpackbits(body, bitorder="little").reshape(len(rows), block, w)
-        out[np.asarray(rows) - first] = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little").view("<u4")
+        body = np.frombuffer(b"".join(data[starts[i] + 7 : starts[i] + 7 + size] for i in rows), "<u4")
+        out[np.asarray(rows) - first] = _unpack_rows(body, w).reshape(len(rows), block) if w else 0
     for i in range(first, last):
         at, w = int(starts[i]), data[starts[i] + 4]
         low, k = np.frombuffer(data, "<u4", 1, at)[0], int(np.frombuffer(data, "<u2", 1, at + 5)[0])
@@ -109,7 +142,7 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [int(d) if k else None for d, k in zip(doc_ids, known)], lengths, ids
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, percentile: float = 90.0) -> None:
+def write(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, percentile: float = PERCENTILE) -> None:
     """Encodes documents (doc_id, text) and writes their segments below path."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

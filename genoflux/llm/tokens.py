@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from itertools import filterfalse, islice
 
 import numpy as np
 import public_tokenizers
@@ -24,9 +25,10 @@ CACHE_CHARS = 64
 if sys.byteorder != "little" or array("I").itemsize != 4:
     raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
 
-_ODD_FOR_BYTES = re.compile(r"[ \n][ \n]|[^\S \n]")
-_ODD_FOR_WORDS = re.compile(r"[\x1c-\x1f\x85]")
-_LETTERS_THEN_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+#: White space other than a space or a line feed.
+_ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD_FOR_WORDS = re.compile("[\x1c-\x1f\x85]")
+_MARKS = ".,;:!?"
 
 
 class Encoder(dict):
@@ -51,25 +53,31 @@ class Encoder(dict):
         """Chunks of a text, or None if it has to be encoded whole.  For byte-level BPE the text is preceded by a space."""
         if self.by_words:
             return None if _ODD_FOR_WORDS.search(text) else text.split()
-        return None if _ODD_FOR_BYTES.search(text) else text.replace("\n", " \n").split(" ")
+        spaced = text.replace("\n", " \n")
+        return None if "  " in spaced or "\n " in spaced or _ODD_SPACE.search(text) else spaced.split(" ")
 
     def _learn(self, chunks: set[str]) -> None:
         """Encodes chunks that are not in the table yet, letters apart from the marks that follow."""
-        pairs, words = {}, set()
+        pairs, words = [], set()
         for x in chunks:
-            if m := _LETTERS_THEN_MARKS.fullmatch(x):
-                a, b = pairs[x] = m[1].lower() if self.by_words else m[1], m[2]
+            a = x.rstrip(_MARKS)
+            if a.isalpha() and (len(a) < len(x) or self.by_words) and (not self.by_words or a.isascii() or max(a) < "\u0100"):
+                b = x[len(a) :]
+                if self.by_words:
+                    a = a.lower()
+                if a != x:
+                    pairs.append((x, a, b))
+                    if b and b not in self.marks:
+                        self.marks[b] = self.plain(b)
                 if a not in self:
                     words.add(a)
-                if b not in self.marks:
-                    self.marks[b] = self.plain(b)
             else:
                 words.add(x)
         todo = list(words)
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast([self._surface(x) for x in todo], add_special_tokens=False)):
+        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo if self.by_words else [self._surface(x) for x in todo], add_special_tokens=False)):
             self[x] = array("I", e.ids).tobytes()
-        for x, (a, b) in pairs.items():
-            self[x] = self[a] + self.marks[b]
+        for x, a, b in pairs:
+            self[x] = self[a] + self.marks[b] if b else self[a]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text, as bytes."""
@@ -80,8 +88,8 @@ class Encoder(dict):
         new: set[str] = set()
         for c in cut:
             if c:
-                new.update(c if self.by_words else c[1:])
-        if new := new.difference(self):
+                new.update(filterfalse(self.__contains__, c if self.by_words else islice(c, 1, None)))
+        if new:
             self._learn(new)
         get, out = self.__getitem__, []
         for text, c in zip(texts, cut):
