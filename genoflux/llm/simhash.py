@@ -1,16 +1,20 @@
 """Operator 4: SimHash near-duplicates by covering locality-sensitive hashing.
 
-A fingerprint has 64 bits, by majority over the hashes of a text's word shingles.  Every bit position has one of the 15
-non-zero vectors of four bits; table v, of 15, keeps the positions whose vector has an odd product with v.  Three
-differing positions span at most three of the four dimensions, so some v is orthogonal to all of them, and the two
-fingerprints are equal in that table: every pair at a distance of up to 3 collides.  A table keeps about 34 bits.
+A fingerprint has 64 bits, by majority over the hashes of a text's word shingles.  For a radius of r every bit position has a
+non-zero vector of r + 1 bits; table v, of 2 ** (r + 1) - 1, keeps the positions whose vector has an odd product with v.  Up to
+r differing positions span at most r of the r + 1 dimensions, so some v is orthogonal to all of them, and the two
+fingerprints are equal in that table: every pair within the radius collides.  A table keeps about half of the bits.
 
 Documents with the same fingerprint are one class from the start, so only distinct fingerprints are compared.  Buckets of
-up to ``MOST`` fingerprints are compared within one task by blocks of numpy operations.  Larger ones are dealt again, by four
+up to ``MOST`` fingerprints are compared within one task by blocks of numpy operations.  Larger ones are dealt again, by r + 1
 stretches of the positions that the table ignores, of which a pair within the radius must share one; what is then still too
 large is cut into blocks and each pair of blocks is a group of its own.  Each group returns a spanning forest of
 its links, not all pairs, which keeps every component whole.
 
+``representatives`` finds near-duplicates by words, at a similarity of about 0.8 or more over five-word shingles: three bits can't
+tell that, so its candidates are all pairs within 6 bits of fingerprints of the texts' distinct words, and a second
+fingerprint, of five-word shingles, has to agree in all but ``SIMILAR`` bits.
+
 Defined cases: texts without a word (null, empty) have fingerprint zero and link like any other; fewer words than a shingle
 are one shingle; repeated rows have one class; a null doc_id takes part, and is a component's id only if all its
 members' are null; an empty table gives no row.  Columns other than doc_id and text are ignored.
@@ -18,8 +22,10 @@ members' are null; an empty table gives no row.  Columns other than doc_id and t
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,39 +39,54 @@ from .components import components
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Distinct fingerprints that one task compares with each other.
 MOST = 2048
+#: Bits in which fingerprints of five-word shingles differ at a similarity of 0.8: 10 on average, up to this in 99 of 100 pairs.
+SIMILAR = 16
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_ALPHANUMERIC = re.compile(r"[^\W_]+")
 
 
-def masks() -> list[int]:
-    """The 15 tables' masks."""
+def masks(radius: int = RADIUS) -> list[int]:
+    """The tables' masks."""
+    vectors = range(1, 2 ** (radius + 1))
+    own = [vectors[i % len(vectors)] for i in range(64)] if len(vectors) <= 64 else random.Random(9).sample(vectors, 64)
     odd = lambda x: x.bit_count() & 1
-    return [sum(1 << i for i in range(64) if odd(v & (i % 15 + 1))) for v in range(1, 16)]
+    return [sum(1 << i for i in range(64) if odd(v & own[i])) for v in vectors]
 
 
-def stretches(mask: int) -> list[int]:
-    """Masks of four stretches of the positions that a table ignores; three differing positions leave one of them equal."""
+def stretches(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks of stretches of the positions that a table ignores; as many differing positions as the radius leave one equal."""
     rest = [i for i in range(64) if not mask >> i & 1]
-    return [sum(1 << i for i in rest[k::4]) for k in range(4)]
+    return [sum(1 << i for i in rest[k :: radius + 1]) for k in range(radius + 1)]
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Of a whole text, as an unsigned number."""
-    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").lower())
-    if not words:
-        return 0
-    hashed, total, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
-    for at in range(0, n, 1 << 16):  # long texts by parts
-        part = words[at : at + (1 << 16) + shingle - 1]
-        if len(part) >= shingle:
-            joined = map(b" ".join, zip(*(part[k:] for k in range(shingle))))
-        else:
-            joined = iter([b" ".join(part)])
-        h = np.fromiter((hashed(x, SEED) for x in joined), np.uint64)
+def majority(hashes: Iterable[int], n: int) -> int:
+    """The fingerprint of n hashes; each bit is set if it is in over half of them."""
+    hashes, total = iter(hashes), np.zeros(64, np.int64)
+    while len(h := np.fromiter(islice(hashes, 1 << 16), np.uint64)):  # long texts by parts
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view(np.uint64)[0])
 
 
+def shingled(words: list[bytes], shingle: int) -> tuple[Iterator[int], int]:
+    """Hashes of all shingles of words, and their number; fewer words than a shingle are one, and no word gives none."""
+    n = max(1, len(words) - shingle + 1) if words else 0
+    joined = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)))) if len(words) >= shingle else iter([b" ".join(words)][:n])
+    return (xxhash.xxh64_intdigest(x, SEED) for x in joined), n
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Of a whole text, as an unsigned number."""
+    return majority(*shingled(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()), shingle))
+
+
+def word_fingerprints(text: str | None) -> tuple[int, int]:
+    """Of a text's distinct words, and of its five-word shingles, where words are letters and digits in lower case."""
+    words = [x.encode() for x in _ALPHANUMERIC.findall((text or "").lower())]
+    distinct = set(words)
+    return majority((xxhash.xxh64_intdigest(x, SEED) for x in distinct), len(distinct)), majority(*shingled(words, 5))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
 
@@ -77,78 +98,114 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id bigint, fp bigint")
 
 
-def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that connect what links within radius connect: among x, or from x to y."""
+def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS, similar: int = 64) -> list[tuple[int, int]]:
+    """Links, as row numbers, that connect what links within radius connect: among rows x, or from x to y.
+
+    Rows are (fingerprint, second fingerprint), of which the second ones may differ in that many bits."""
     other = x if y is None else y
-    parent: dict[int, int] = {}
+    parent = np.arange(len(x) + (0 if y is None else len(y)))
+    shift = 0 if y is None else len(x)
 
     def root(a: int) -> int:
-        while (p := parent.setdefault(a, a)) != a:
-            parent[a] = a = parent[p] if p in parent else p
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
         return a
 
     out = []
     for lo in range(0, len(x), 256):
-        near = np.bitwise_count(x[lo : lo + 256, None] ^ other[None, :]) <= radius
+        near = np.bitwise_count(x[lo : lo + 256, None, 0] ^ other[None, :, 0]) <= radius
+        if similar < 64:
+            near &= np.bitwise_count(x[lo : lo + 256, None, 1] ^ other[None, :, 1]) <= similar
         if y is None:
             near &= np.arange(len(x))[None, :] > np.arange(lo, min(lo + 256, len(x)))[:, None]
-        for i, j in zip(*np.nonzero(near)):
-            a, b = int(x[lo + i]), int(other[j])
-            if (p := root(a)) != (q := root(b)):
+        for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
+            if (p := root(lo + i)) != (q := root(shift + j)):
                 parent[p] = q
-                out.append((a, b))
+                out.append((lo + i, j))
     return out
 
 
-def _compare(buckets: DataFrame, key: list[str]) -> DataFrame:
-    """Links among rows (key, side, fp) that share a key: within side 0, or from side 0 to side 1 if there is a side 1."""
+def _compare(buckets: DataFrame, key: list[str], radius: int, similar: int) -> DataFrame:
+    """Links among rows (key, side, fp, second) that share a key: within side 0, or from side 0 to side 1 if there is a side 1."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            links: set[tuple[int, int]] = set()
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                links.update(forest(np.array(sorted(x), np.int64), np.array(sorted(y), np.int64) if y else None))
-            a, z = zip(*links) if links else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], names=["a", "b"])
-
-    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("fp")))
+            links: set[tuple[int, int, int, int]] = set()
+            for sides in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
+                x, y = (np.array(sorted((r["fp"], r["second"]) for r in rows), np.int64).reshape(-1, 2) for rows in sides)
+                links.update((*x[i].tolist(), *(y if len(y) else x)[j].tolist()) for i, j in forest(x, y if len(y) else None, radius, similar))
+            cols = list(zip(*links)) if links else [[]] * 4
+            node = lambda i: pa.StructArray.from_arrays([pa.array(cols[i], pa.int64()), pa.array(cols[i + 1], pa.int64())], names=["fp", "second"])
+            yield pa.RecordBatch.from_arrays([node(0), node(2)], names=["a", "b"])
+
+    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("fp", "second")))
     groups = buckets.groupBy(*key).agg(side(0).alias("x"), side(1).alias("y")).where(F.size("x") + F.size("y") > 1)
-    return groups.select("x", "y").mapInArrow(task, "a bigint, b bigint")
+    return groups.select("x", "y").mapInArrow(task, "a struct<fp: bigint, second: bigint>, b struct<fp: bigint, second: bigint>")
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp) whose components are those of all pairs within the radius."""
+def links(distinct: DataFrame, radius: int = RADIUS, similar: int = 64, most: int = MOST) -> DataFrame:
+    """Links (a, b) between distinct rows (fp, second) whose components are those of all pairs within the radius."""
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
-    tables = F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("kept")) for t, m in enumerate(masks())]))
-    dealt = distinct.select("fp", tables.alias("k")).select("fp", "k.t", "k.kept")
+    all_masks = masks(radius)
+    tables = F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("kept")) for t, m in enumerate(all_masks)]))
+    dealt = distinct.select("fp", "second", tables.alias("k")).select("fp", "second", "k.t", "k.kept")
     sizes = dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = stash(dealt.join(sizes, ["t", "kept"]), "buckets")
-    found = _compare(shared.where(F.col("n") <= most).withColumn("side", F.lit(0)), ["t", "kept"])
+    found = _compare(shared.where(F.col("n") <= most).withColumn("side", F.lit(0)), ["t", "kept"], radius, similar)
 
     # buckets that are too large for a task
-    parts = F.element_at(F.array(*[F.array(*[F.struct(F.lit(s).alias("s"), F.col("fp").bitwiseAND(signed(x)).alias("part")) for s, x in enumerate(stretches(m))]) for m in masks()]), F.col("t") + 1)
-    again = shared.where(F.col("n") > most).select("fp", "t", "kept", F.explode(parts).alias("k")).select("fp", "t", "kept", "k.s", "k.part")
+    parts = F.element_at(F.array(*[F.array(*[signed(x) for x in stretches(m, radius)]) for m in all_masks]), F.col("t") + 1)
+    again = shared.where(F.col("n") > most).select("fp", "second", "t", "kept", F.posexplode(parts).alias("s", "stretch"))
+    again = again.withColumn("part", F.col("fp").bitwiseAND(F.col("stretch"))).drop("stretch")
     key = ["t", "kept", "s", "part"]
     counted = again.join(again.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > 1), key)
-    blocks = F.ceil(F.col("m") / most).cast("int")
-    # each fingerprint of a group of B blocks goes to the B pairs of blocks that hold its own
-    own = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    # each row of a group of B blocks goes to the B pairs of blocks that hold its own
+    own = counted.withColumn("blocks", F.ceil(F.col("m") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "second"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select(*key, "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return found.union(_compare(own, [*key, "i", "j"]))
+    own = own.select(*key, "fp", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return found.union(_compare(own, [*key, "i", "j"], radius, similar))
+
 
+def _grouped(fps: DataFrame, radius: int, similar: int, most: int) -> DataFrame:
+    """Rows (fp, second, component) of rows (fp, second) with component, a row that all reachable ones share."""
+    distinct = stash(fps.select("fp", "second").distinct(), "distinct")
+    roots = components(links(distinct, radius, similar, most)).select("id.*", "component")
+    return distinct.join(roots, ["fp", "second"], "left").withColumn("component", F.coalesce("component", F.struct("fp", "second")))
 
-def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+
+def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id that is reachable over links, of documents."""
-    fps = stash(fingerprints(docs, shingle), "fingerprints")
-    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct.select("fp")))
-    # components are named by fingerprints; their smallest doc_ids come from one aggregate
-    named = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    member = named.join(least, "component").select("fp", "component_id")
+    fps = stash(fingerprints(docs, shingle).withColumn("second", F.lit(0).cast("bigint")), "fingerprints")
+    named = _grouped(fps, radius, 64, most).select("fp", "component")
+    # their smallest doc_ids come from two aggregates, whatever a component's size
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp")
+    member = named.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
     return fps.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def representatives(docs: DataFrame, radius: int = 6, similar: int = SIMILAR, most: int = MOST) -> DataFrame:
+    """documents without near-duplicates: of each component the row with the smallest doc_id stays, null ids first.
+
+    Of rows that are the same in doc_id and text, one stays."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            both = [word_fingerprints(x) for x in b.column("text").to_pylist()]
+            fps = (pa.array(np.array([x[i] for x in both], np.uint64).view(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text_hash"), *fps], names=["doc", "text_hash", "fp", "second"])
+
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
+    fps = stash(docs.select(*key, F.col("text").cast("string").alias("text")).mapInArrow(task, "doc bigint, text_hash bigint, fp bigint, second bigint"), "fingerprints")
+    member = _grouped(fps, radius, similar, most)
+    first = fps.groupBy("fp", "second").agg(F.min(F.struct("doc", "text_hash")).alias("first")).join(member, ["fp", "second"])
+    stay = first.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    # a kept row may occur more than once; only those need a comparison of whole rows
+    counts = fps.groupBy("doc", "text_hash").agg(F.count("*").alias("rows"))
+    stay = stash(stay.join(counts, ["doc", "text_hash"]), "stay")
+    kept = docs.withColumns({"__doc": key[0], "__hash": key[1]}).join(stay.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("rows").alias("__rows")).hint("shuffle_hash"), ["__doc", "__hash"])
+    once, more = kept.where(F.col("__rows") == 1), kept.where(F.col("__rows") > 1)
+    return once.unionByName(more.dropDuplicates(["__doc", "__hash"])).select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
