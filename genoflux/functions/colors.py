@@ -7,6 +7,7 @@ import colorsys
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .math import _c
 
@@ -51,7 +52,7 @@ def color_to_rgb(color) -> Column:
 
 
 def _converted(f):
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def udf(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([list(f(*x)) for x in zip(a, b, c)])
 

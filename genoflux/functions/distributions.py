@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .math import NAN, _c, _d
 
@@ -73,7 +74,7 @@ def rgeom(seed, *key, p=0.5) -> Column:
     return F.when(q >= 1, F.lit(0)).otherwise(F.floor(F.ln(uniform(seed, *key)) / F.ln(1 - F.least(q, F.lit(1 - 1e-16))))).cast("bigint")
 
 
-def _drawn(returns: str, draw):
+def _drawn(returns: T.DataType, draw):
     """draw(generator, *parameters), with a generator for each row, seeded by its hash."""
 
     @F.pandas_udf(returns)
@@ -86,15 +87,15 @@ def _drawn(returns: str, draw):
     return f
 
 
-rgamma = _drawn("double", lambda g, mean, shape: math.copysign(1, mean) * g.gamma(shape, abs(mean) / shape))
-rbeta = _drawn("double", lambda g, alpha, beta: g.beta(alpha, beta))
-rf = _drawn("double", lambda g, d1, d2: g.f(d1, d2))
-rbinom = _drawn("bigint", lambda g, size, prob: int(g.binomial(size, prob)))
-rpois = _drawn("bigint", lambda g, lam: int(g.poisson(lam)))
-rnbinom = _drawn("bigint", lambda g, size, prob: int(g.negative_binomial(size, prob)))
-rdirichlet = _drawn("array<double>", lambda g, alpha: g.dirichlet(alpha).tolist())
-rmultinom = _drawn("array<bigint>", lambda g, size, prob: g.multinomial(size, np.asarray(prob) / np.sum(prob)).tolist())
-rmvnorm = _drawn("array<double>", lambda g, mu, sigma: g.multivariate_normal(mu, np.reshape(sigma, (len(mu), len(mu))), method="cholesky").tolist())
+rgamma = _drawn(T.DoubleType(), lambda g, mean, shape: math.copysign(1, mean) * g.gamma(shape, abs(mean) / shape))
+rbeta = _drawn(T.DoubleType(), lambda g, alpha, beta: g.beta(alpha, beta))
+rf = _drawn(T.DoubleType(), lambda g, d1, d2: g.f(d1, d2))
+rbinom = _drawn(T.LongType(), lambda g, size, prob: int(g.binomial(size, prob)))
+rpois = _drawn(T.LongType(), lambda g, lam: int(g.poisson(lam)))
+rnbinom = _drawn(T.LongType(), lambda g, size, prob: int(g.negative_binomial(size, prob)))
+rdirichlet = _drawn(T.ArrayType(T.DoubleType()), lambda g, alpha: g.dirichlet(alpha).tolist())
+rmultinom = _drawn(T.ArrayType(T.LongType()), lambda g, size, prob: g.multinomial(size, np.asarray(prob) / np.sum(prob)).tolist())
+rmvnorm = _drawn(T.ArrayType(T.DoubleType()), lambda g, mu, sigma: g.multivariate_normal(mu, np.reshape(sigma, (len(mu), len(mu))), method="cholesky").tolist())
 
 
 def _truncated_poisson(g: np.random.Generator, lam: float) -> int:
@@ -103,7 +104,7 @@ def _truncated_poisson(g: np.random.Generator, lam: float) -> int:
     return 1 + int(g.poisson(max(0.0, lam - first)))
 
 
-rztpois = _drawn("bigint", _truncated_poisson)
+rztpois = _drawn(T.LongType(), _truncated_poisson)
 
 
 def dnorm(x, mean=0.0, sd=1.0) -> Column:
@@ -115,7 +116,7 @@ def dexp(x, mu=1.0) -> Column:
     return F.when(_d(x) < 0, 0.0).otherwise(F.exp(-_d(x) / _d(mu)) / _d(mu))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(lambda v: math.lgamma(v) if v > 0 else NAN)
 
@@ -132,7 +133,7 @@ def dbeta(x, alpha, beta) -> Column:
     return F.when(inside, F.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * F.ln(F.when(inside, v)) + (b - 1) * F.ln(F.when(inside, 1 - v)))).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc)
 
@@ -141,7 +142,7 @@ def pnorm(q, mean=0.0, sd=1.0) -> Column:
     return _erfc(-(_d(q) - _d(mean)) / (_d(sd) * math.sqrt(2))) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _inverse_normal(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     return p.map(lambda v: inverse(v) if 0 < v < 1 else -math.inf if v == 0 else math.inf if v == 1 else NAN)
@@ -155,7 +156,7 @@ def dmvnorm(x, mu: list[float], sigma: list[list[float]]) -> Column:
     """Density of array values."""
     lower = np.linalg.cholesky(np.asarray(sigma, float))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def density(v: pd.Series) -> pd.Series:
         z = np.linalg.solve(lower, (np.stack(v.to_list()) - np.asarray(mu, float)).T) if len(v) else np.zeros((len(mu), 0))
         return pd.Series(np.exp(-(z * z).sum(axis=0) / 2) / (np.prod(np.diag(lower)) * (2 * math.pi) ** (len(mu) / 2)))

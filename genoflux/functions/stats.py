@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .math import NAN, _c, _d
 
@@ -22,7 +23,7 @@ def total_integer(x) -> Column:
     return F.coalesce(F.sum(_c(x).cast("bigint")), F.lit(0).cast("bigint"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def total_exact(x: pd.Series) -> float:
     """Correctly rounded float sum."""
     return math.fsum(x.dropna())
@@ -117,7 +118,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(incomplete_beta(df / 2, np.full(len(df), 0.5), df / (df + t * t)))
 
