@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import _c
+from ..sources.state import fresh
 
 
 def dictionary(**values) -> Column:
@@ -69,9 +70,11 @@ def serialize(d, kind: str = "json") -> Column:
 
 
 def with_index(df: DataFrame, *order: str, idx: str = "idx") -> DataFrame:
-    """Adds a 0-based index in the order of columns: ranges are numbered on their own, then moved by what lies before."""
+    """Adds a 0-based index in the order of columns: ranges are numbered on their own, then moved by what lies before.
+
+    The ranges are sampled, so they are written out before they are used twice."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    d = fresh(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     sizes = d.groupBy("__part").agg(F.count("*").alias("__n"))
     ahead = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
     own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1

@@ -41,11 +41,12 @@ def neighbors(receivers: DataFrame, exerters: DataFrame, radius: float, dims: st
     cell = lambda k: F.pmod(F.floor(F.col(k) / (periods[k] / cells[k])), F.lit(cells[k])) if k in periods else F.floor(F.col(k) / radius)
     e = exerters.select(*[F.col(c).alias(f"e_{c}") for c in exerters.columns], *[cell(k).alias(f"c{k}") for k in dims], F.pmod(F.xxhash64(key), F.lit(salt)).alias("part"))
     # adjacent cells, each once even where a periodic dimension has fewer than three
-    around = [F.array_distinct(F.transform(F.array(*[F.lit(s) for s in (-1, 0, 1)]), lambda s, k=k: F.pmod(cell(k) + s, F.lit(cells[k])) if k in periods else cell(k) + s)) for k in dims]
+    step = lambda k, s: F.pmod(cell(k) + s, F.lit(cells[k])) if k in periods else cell(k) + s
+    around = [F.array_distinct(F.array(*[step(k, s) for s in (-1, 0, 1)])) for k in dims]
     r = receivers
     for k, near in zip(dims, around):
         r = r.withColumn(f"c{k}", F.explode(near))
-    r = r.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).cast("bigint"))
+    r = r.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salt - 1).cast("bigint"))))
     met = r.join(e.withColumn("part", F.col("part").cast("bigint")), [*(f"c{k}" for k in dims), "part"])
     return met.withColumn("d", distance(dims, periods)).where((F.col("d") <= radius) & (F.col(key) != F.col(f"e_{key}"))).drop(*(f"c{k}" for k in dims), "part")
 

@@ -123,16 +123,19 @@ def rep_each(df: DataFrame, n: Column | int, idx: str) -> DataFrame:
 def find_interval(x: DataFrame, value: str, breaks: DataFrame, bound: str, name: str = "interval") -> DataFrame:
     """x with the 0-based interval among any number of distinct breaks; -1 below the first.
 
-    An as-of join: breaks and values are merged in ranges of equal size, and only one row for each range meets in one place."""
+    An as-of join: breaks and values are merged in ranges, whose bounds are approximate quantiles of the breaks, and only one
+    row for each range meets in one place."""
     spark = x.sparkSession
     numbered = x.select("*", F.col(value).cast("double").alias("__v"))
     marks = breaks.select(F.col(bound).cast("double").alias("__v")).distinct()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = marks.approxQuantile("__v", [i / parts for i in range(1, parts)], 0.01)
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>"), lambda c: c <= F.col("__v")))
     row = F.struct(*numbered.columns).alias("__row")
     both = numbered.select("__v", F.lit(1).alias("__kind"), row).unionByName(marks.select("__v", F.lit(0).alias("__kind"), F.lit(None).cast(numbered.select(row).schema[0].dataType).alias("__row")))
-    both = both.repartitionByRange(parts, "__v").withColumn("__part", F.spark_partition_id())
-    ahead = both.where(F.col("__kind") == 0).groupBy("__part").agg(F.count("*").alias("__n"))
-    every = spark.range(parts).select(F.col("id").cast("int").alias("__part")).join(ahead, "__part", "left")
+    both = both.withColumn("__part", part)
+    ahead = marks.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    every = spark.range(parts + 1).select(F.col("id").cast("int").alias("__part")).join(ahead, "__part", "left")
     every = every.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
     own = F.sum(1 - F.col("__kind")).over(Window.partitionBy("__part").orderBy("__v", "__kind").rowsBetween(Window.unboundedPreceding, 0))
     found = both.join(every, "__part").withColumn(name, (own + F.col("__ahead") - 1).cast("bigint"))

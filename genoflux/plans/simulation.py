@@ -102,9 +102,13 @@ def fitness(state: State, model: Model) -> DataFrame:
     return model.fitness_effect(f) if model.fitness_effect else f
 
 
-def _offspring(state: State, model: Model, children: DataFrame, tick: int) -> State:
+Save = Callable[[DataFrame, str], DataFrame]
+
+
+def _offspring(state: State, model: Model, children: DataFrame, tick: int, save: Save = lambda df, name: df) -> State:
     """children (ind_id, subpop, p1, p2, cloned) with their haplosomes, mutations and what they carry."""
     spark = children.sparkSession
+    children = save(children, f"children-{tick}")
     hap = _haplosomes(children)
     gametes = hap.join(children, "ind_id").select("hap_id", "copy", F.when(F.col("copy") == 0, F.col("p1")).otherwise(F.col("p2")).alias("parent"), "cloned")
     crossing = spark.createDataFrame([(0, model.last_position, model.recombination_rate)], "start bigint, end bigint, rate double")
@@ -112,12 +116,13 @@ def _offspring(state: State, model: Model, children: DataFrame, tick: int) -> St
     cuts = genome.breakpoints(sexual, crossing, model.recombination_rate * model.last_position, model.seed + tick, "hap_id")
     passed = recombine(sexual, state.carries, state.haplosome, state.mutation, cuts, model.seed, tick)
     copied = gametes.where("cloned").join(state.haplosome.select(F.col("ind_id").alias("parent"), "copy", F.col("hap_id").alias("strand")), ["parent", "copy"]).join(state.carries.withColumnRenamed("hap_id", "strand"), "strand").select("hap_id", "mut_id")
-    new = new_mutations(gametes.select("hap_id"), model, tick)
+    new = save(new_mutations(gametes.select("hap_id"), model, tick), f"new-{tick}")
     carries = passed.unionByName(copied).unionByName(new.select("hap_id", "mut_id"))
+    carries = save(carries, f"passed-{tick}")
     return State(children.select("ind_id", "subpop", "p1", "p2"), hap, carries, state.mutation.unionByName(new.drop("hap_id")), state.substitution, tick)
 
 
-def wright_fisher_tick(state: State, model: Model) -> State:
+def wright_fisher_tick(state: State, model: Model, save: Save = lambda df, name: df) -> State:
     """The next generation: children choose a source by migration and parents by fitness; the parents go."""
     tick = state.tick + 1
     spark = state.individual.sparkSession
@@ -131,12 +136,12 @@ def wright_fisher_tick(state: State, model: Model) -> State:
         test = (F.col("subpop") == dst) & (u >= lo) & (u < lo + rate)
         source = F.when(test, src) if source is None else source.when(test, src)
     kids = kids.withColumn("source", (F.col("subpop") if source is None else source.otherwise(F.col("subpop"))).cast("int"))
-    f = fitness(state, model)
+    f = save(fitness(state, model), f"fitness-{tick}")
     both = kids.join(draw_parents(kids, f, model.seed, tick, 1), "ind_id").join(draw_parents(kids, f, model.seed, tick, 2), "ind_id")
     how = uniform(model.seed, F.lit(tick), "ind_id", stream=4)
     alone = how < model.cloning_rate + model.selfing_rate
     children = both.select("ind_id", "subpop", "p1", F.when(alone, F.col("p1")).otherwise(F.col("p2")).alias("p2"), (how < model.cloning_rate).alias("cloned"))
-    return retire_fixed(_offspring(state, model, children, tick))
+    return retire_fixed(_offspring(state, model, children, tick, save))
 
 
 def survive(state: State, model: Model) -> State:
@@ -174,11 +179,11 @@ def retire_fixed(state: State) -> State:
     return replace(state, mutation=live, carries=state.carries.join(fixed, "mut_id", "left_anti"), substitution=state.substitution.unionByName(gone))
 
 
-def run(state: State, model: Model, ticks: int, save: Callable[[DataFrame, str], DataFrame], step=wright_fisher_tick) -> State:
+def run(state: State, model: Model, ticks: int, save: Save, step=wright_fisher_tick) -> State:
     """Advances ticks; save(table, name) writes a table out and returns it as read again."""
     for _ in range(ticks):
-        state = step(state, model)
-        state = replace(state, **{n: save(getattr(state, n), f"{n}-{state.tick}") for n in ("individual", "haplosome", "carries", "mutation", "substitution")})
+        state = step(state, model, save)
+        state = replace(state, **{n: save(getattr(state, n), f"{n}-{state.tick}") for n in ("carries", "mutation", "substitution")})
     return state
 
 

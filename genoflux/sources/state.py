@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,3 +33,15 @@ def haplosome_lines(carries: DataFrame, haplosomes: DataFrame) -> DataFrame:
 
 def fixed_lines(substitutions: DataFrame) -> DataFrame:
     return substitutions.select("mut_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("mut_id", "position", "s", "fixation_tick")]).alias("value"))
+
+
+def fresh(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder in spark.checkpoint.dir and read again; a local folder only where that is unset."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
