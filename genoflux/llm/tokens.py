@@ -9,6 +9,7 @@ white space goes to the library whole.  ``tests/llm/test_tokens.py`` compares wi
 
 from __future__ import annotations
 
+import gc
 import re
 import sys
 from array import array
@@ -81,6 +82,13 @@ class Encoder(dict):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text, as bytes."""
+        gc.disable()  # nothing here is cyclic, and a collection would walk through all chunks
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > CACHE_ENTRIES:
             self.clear()
             self.marks.clear()
