@@ -151,7 +151,8 @@ def _spans(block: np.ndarray, place: np.ndarray, length: int) -> Iterator[tuple[
 def removals(docs: DataFrame, length: int = LENGTH, keep_first: bool = False, most: int = MOST) -> DataFrame:
     """Byte spans (doc, text_hash, start, stop) to remove of rows (doc, text_hash, text); they may overlap."""
     key, kind = ["doc", "text_hash"], ["anchor", "content"]
-    often = _blocks(docs, length).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor")
+    # written out, so that the join has an exchange on either side and Spark can split the rows of one anchor
+    often = stash(_blocks(docs, length).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("anchor"), "often")
     found = stash(_blocks(docs, length).join(often, "anchor", "left_semi"), "blocks")
 
     earliest = F.min(F.struct("doc", "text_hash", "first", "last")).alias("at")
