@@ -46,8 +46,9 @@ def heterozygosity(freq: DataFrame, length: Column | float, by: list[str] = [])
 def diversity(freq: DataFrame, length: float, by: list[str] = []) -> DataFrame:  # noqa: B006
     """pi: mean pairwise differences for each site."""
     n = F.col("n").cast("double")
-    pairs = F.when(F.col("n") < 2, F.raise_error(F.lit("calcPi() needs two haplosomes or more")).cast("double")).otherwise(n * (n - 1) / 2)
-    return freq.groupBy(*by).agg((F.coalesce(F.sum(F.when(_segregating(), F.col("c") * (F.col("n") - F.col("c")) / pairs)), F.lit(0.0)) / length).alias("pi"))
+    few = F.raise_error(F.lit("diversity() needs two haplosomes or more")).cast("double")
+    apart = F.when(F.col("n") < 2, few).when(_segregating(), F.col("c") * (F.col("n") - F.col("c")) / (n * (n - 1) / 2))
+    return freq.groupBy(*by).agg((F.coalesce(F.sum(apart), F.lit(0.0)) / length).alias("pi"))
 
 
 def _constants(freq: DataFrame, by: list[str]) -> DataFrame:
@@ -133,7 +134,7 @@ def additive_variance(carries: DataFrame, haplosomes: DataFrame, mutations: Data
     m = mutations.where(F.col("mut_type") == mut_type).select("mut_id", "s")
     sums = carries.join(m, "mut_id").join(haplosomes.select("hap_id", "ind_id"), "hap_id").groupBy("ind_id").agg(F.sum("s").alias("s"))
     every = haplosomes.select("ind_id").distinct().join(sums, "ind_id", "left").select(F.coalesce("s", F.lit(0.0)).alias("s"))
-    few = F.raise_error(F.lit("calcVA() needs two individuals or more")).cast("double")
+    few = F.raise_error(F.lit("additive_variance() needs two individuals or more")).cast("double")
     return every.agg(F.when(F.count("*") < 2, few).otherwise(F.var_samp("s")).alias("va"))
 
 
