@@ -259,3 +259,61 @@ def integrity_errors(nodes: DataFrame, edges: DataFrame, sites: DataFrame, mutat
     }
     rows = [df.agg(F.lit(k).alias("problem"), F.count("*").alias("n")) for k, df in checks.items()]
     return reduce(lambda a, b: a.unionByName(b), rows).where(F.col("n") > 0)
+
+
+def nearest_neighbours(above: DataFrame, focal: DataFrame, sets: DataFrame, nodes: DataFrame, span: float) -> DataFrame:
+    """Rows (start, sample_set, share): for focal samples (start), the sets' shares among the samples that join it first, averaged over
+    the length.
+
+    Over each stretch that is the youngest ancestor with another sample below; its samples other than the focal one count."""
+    t = above.join(nodes.select(F.col("id").alias("node"), "time"), "node")
+    f = focal.select("start").join(t, "start").select("start", "node", "time", F.col("left").alias("fl"), F.col("right").alias("fr"))
+    o = t.join(sets.select(F.col("sample").alias("start"), "sample_set"), "start").select(F.col("start").alias("other"), "sample_set", "node", F.col("left").alias("ol"), F.col("right").alias("or_"))
+    met = f.join(o, "node").where((F.col("start") != F.col("other")) & (F.col("fl") < F.col("or_")) & (F.col("ol") < F.col("fr")))
+    met = met.select("start", "other", "sample_set", "node", "time", F.greatest("fl", "ol").alias("left"), F.least("fr", "or_").alias("right"))
+    ends = met.select("start", F.explode(F.array("left", "right")).alias("l")).distinct()
+    cut = ends.withColumn("r", F.lead("l").over(Window.partitionBy("start").orderBy("l"))).where(F.col("r").isNotNull())
+    inside = cut.join(met, "start").where((F.col("left") <= F.col("l")) & (F.col("right") >= F.col("r")))
+    first = inside.groupBy("start", "l", "r").agg(F.min("time").alias("time"))
+    near = inside.join(first, ["start", "l", "r", "time"]).groupBy("start", "l", "r", "sample_set").agg(F.countDistinct("other").alias("k"))
+    all_ = near.groupBy("start", "l", "r").agg(F.sum("k").alias("all"))
+    share = F.sum(F.col("k") / F.col("all") * (F.col("r") - F.col("l"))) / span
+    return near.join(all_, ["start", "l", "r"]).groupBy("start", "sample_set").agg(share.alias("share"))
+
+
+def tree_distance(first: DataFrame, second: DataFrame, depths: DataFrame, weight: float, span: float) -> DataFrame:
+    """One row (distance): Kendall-Colijn distance of two ancestries over the same samples, averaged over the length.
+
+    first and second are common ancestors of all pairs asked, with root_time and depth, the branches from the root to the
+    ancestor; depths has the pendant branches' differences, (difference).  weight is the share of times against branches."""
+    value = lambda x: F.col(x + "depth") * (1 - weight) + (F.col(x + "root_time") - F.col(x + "time")) * weight
+    named = lambda df, x: df.select("a", "b", *[F.col(c).alias(x + c) for c in ("left", "right", "time", "depth", "root_time")])
+    j = named(first, "x_").join(named(second, "y_"), ["a", "b"]).where((F.col("x_left") < F.col("y_right")) & (F.col("y_left") < F.col("x_right")))
+    j = j.select("a", "b", F.greatest("x_left", "y_left").alias("left"), F.least("x_right", "y_right").alias("right"), F.pow(value("x_") - value("y_"), F.lit(2.0)).alias("d"))
+    pendant = depths.agg(F.coalesce(F.sum(F.pow(F.col("difference") * weight, F.lit(2.0))), F.lit(0.0)).alias("pendant"))
+    cuts = j.select(F.explode(F.array("left", "right")).alias("l")).distinct()
+    # one row for each breakpoint between trees, all of one sequence
+    cut = cuts.withColumn("r", F.lead("l").over(Window.orderBy("l"))).where(F.col("r").isNotNull())
+    sums = j.join(cut, (F.col("left") <= F.col("l")) & (F.col("right") >= F.col("r"))).groupBy("l", "r").agg(F.sum("d").alias("d"))
+    return sums.join(F.broadcast(pendant), F.lit(True)).agg((F.sum(F.sqrt(F.col("d") + F.col("pendant")) * (F.col("r") - F.col("l"))) / span).alias("distance"))  # one row
+
+
+def mutation_times(mutations: DataFrame, edges: DataFrame, nodes: DataFrame, sites: DataFrame) -> DataFrame:
+    """mutations with times: those above one node at one site are spaced evenly between the node's time and its parent's there, the
+    one with the smallest id oldest; above a root they have the node's time."""
+    t = lambda x: nodes.select(F.col("id").alias(x), F.col("time").alias(f"{x}_time"))
+    m = mutations.drop("time").join(sites.select(F.col("id").alias("site"), "position"), "site")
+    e = edges.select(F.col("child").alias("node"), "parent", "left", "right").join(t("parent"), "parent")
+    over = m.join(e, "node").where((F.col("left") <= F.col("position")) & (F.col("position") < F.col("right"))).select("id", "parent_time")
+    j = m.join(over, "id", "left").join(t("node"), "node")
+    by = Window.partitionBy("site", "node")
+    step = F.row_number().over(by.orderBy(F.desc("id"))) / (F.count("*").over(by) + 1)
+    return j.withColumn("time", F.col("node_time") + F.coalesce((F.col("parent_time") - F.col("node_time")) * step, F.lit(0.0))).drop("position", "parent_time", "node_time")
+
+
+def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids numbered anew, youngest first, edges moved along: the numbering is one window over the node table."""
+    named = nodes.withColumn("new", (F.row_number().over(Window.orderBy("time", "id")) - 1).cast("bigint"))
+    side = lambda x: named.select(F.col("id").alias(x), F.col("new").alias(f"new_{x}"))
+    e = edges.join(side("parent"), "parent").join(side("child"), "child").select("left", "right", F.col("new_parent").alias("parent"), F.col("new_child").alias("child"))
+    return named.withColumn("id", F.col("new")).drop("new"), e.orderBy("parent", "child", "left")

@@ -190,3 +190,37 @@ def run(state: State, model: Model, ticks: int, save: Save, step=wright_fisher_t
 def displaced(individuals: DataFrame, sd: float, seed: int, tick: int) -> DataFrame:
     """Positions of offspring around their own."""
     return individuals.withColumns({k: rnorm(seed, F.lit(tick), "ind_id", F.lit(k), mean=F.col(k), sd=sd) for k in ("x", "y")})
+
+
+def recombinant(gametes: DataFrame, strands: DataFrame, carries: DataFrame, mutations: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Pairs (hap_id, mut_id) of gametes (hap_id) from explicit strands (hap_id, first, second), which may be null, and breakpoints
+    (hap_id, position): the first strand is read up to the first breakpoint, then the other, and so on."""
+    s = strands.join(gametes, "hap_id", "left_semi").select("hap_id", F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("first").alias("strand")), F.struct(F.lit(1).alias("turn"), F.col("second").alias("strand")))).alias("s")).select("hap_id", "s.*").where(F.col("strand").isNotNull())
+    held = s.join(carries.withColumnRenamed("hap_id", "strand"), "strand").join(mutations.select("mut_id", "position"), "mut_id")
+    at = cuts.groupBy("hap_id").agg(F.collect_set("position").alias("cuts"))  # a few for each gamete
+    crossed = F.greatest(F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c <= F.col("position"))), F.lit(0))
+    return held.join(at, "hap_id", "left").where(crossed % 2 == F.col("turn")).select("hap_id", "mut_id")
+
+
+def gene_conversion(cuts: DataFrame, seed: int, tick: int, share: float, mean_length: float) -> DataFrame:
+    """Breakpoints (hap_id, position), of which a share become both ends of a short tract of geometric length."""
+    from ..functions.distributions import rgeom
+
+    tract = uniform(seed, F.lit(tick), "hap_id", "position", stream=40) < share
+    end = F.col("position") + 1 + rgeom(seed + 1, F.lit(tick), "hap_id", "position", p=1.0 / mean_length)
+    return cuts.select("hap_id", F.explode(F.when(tract, F.array(F.col("position"), end)).otherwise(F.array("position"))).alias("position")).distinct()
+
+
+def add_empty(state: State, individuals: DataFrame) -> State:
+    """Individuals (ind_id, subpop) whose haplosomes carry nothing join the living."""
+    new = individuals.select("ind_id", "subpop", F.lit(-1).cast("bigint").alias("p1"), F.lit(-1).cast("bigint").alias("p2"))
+    return replace(state, individual=state.individual.unionByName(new), haplosome=state.haplosome.unionByName(_haplosomes(new)))
+
+
+def split_off(state: State, model: Model, source: int, subpop: int, n: int) -> State:
+    """A new subpopulation of n clones of individuals drawn by fitness from a source."""
+    spark = state.individual.sparkSession
+    kids = spark.range(n).select(F.xxhash64(F.lit(state.tick), F.lit(subpop), "id").alias("ind_id"), F.lit(source).alias("source"))
+    f = fitness(state, model)
+    drawn = draw_parents(kids, f, model.seed, state.tick, 1).select("ind_id", F.lit(subpop).alias("subpop"), "p1", F.col("p1").alias("p2"), F.lit(True).alias("cloned"))
+    return add_offspring(state, replace(model, mutation_rate=0.0), drawn)

@@ -336,3 +336,61 @@ def test_recombination_reads_both_strands(spark):
     for r in simulation.recombine(gametes, carries, hap, mut, cuts, 1, 1).collect():
         got.setdefault(r["hap_id"], set()).add(r["mut_id"])
     assert set(map(frozenset, got.values())) == {frozenset(range(5)), frozenset(range(5, 10))} and len(got) == 40
+
+
+def test_more_ancestry(spark):
+    nodes = spark.createDataFrame([(0, 0.0), (1, 0.0), (2, 0.0), (3, 1.0), (4, 3.0)], "id bigint, time double")
+    edges = spark.createDataFrame([(0.0, 10.0, 3, 0), (0.0, 10.0, 3, 1), (0.0, 10.0, 4, 3), (0.0, 10.0, 4, 2)], "left double, right double, parent bigint, child bigint")
+    above = ancestry.ancestors(spark.createDataFrame([(0,), (1,), (2,)], "start bigint"), edges)
+    sets = spark.createDataFrame([(0, 0), (1, 1), (1, 2)], "sample_set int, sample bigint")
+    got = {(r["start"], r["sample_set"]): r["share"] for r in ancestry.nearest_neighbours(above, sets.select(F.col("sample").alias("start")), sets, nodes, 10.0).collect()}
+    assert got == {(0, 1): 1.0, (1, 0): 1.0, (2, 0): 0.5, (2, 1): 0.5}
+    sites = spark.createDataFrame([(0, 4.0)], "id bigint, position double")
+    muts = spark.createDataFrame([(0, 0, 3, 0.0), (1, 0, 3, 0.0), (2, 0, 4, 0.0)], "id bigint, site bigint, node bigint, time double")
+    times = {r["id"]: r["time"] for r in ancestry.mutation_times(muts, edges, nodes, sites).collect()}
+    assert times == pytest.approx({0: 1 + 4 / 3, 1: 1 + 2 / 3, 2: 3.0})
+    renamed = spark.createDataFrame([(10, 3.0), (11, 0.0), (12, 1.0)], "id bigint, time double")
+    n, e = ancestry.canonical(renamed, spark.createDataFrame([(0.0, 1.0, 10, 12), (0.0, 1.0, 12, 11)], edges.schema))
+    assert {(r["id"], r["time"]) for r in n.collect()} == {(0, 0.0), (1, 1.0), (2, 3.0)} and {(r["parent"], r["child"]) for r in e.collect()} == {(2, 1), (1, 0)}
+    x = spark.createDataFrame([(0, 1, 0.0, 10.0, 1.0, 1.0, 3.0), (0, 2, 0.0, 10.0, 3.0, 0.0, 3.0), (1, 2, 0.0, 10.0, 3.0, 0.0, 3.0)], "a bigint, b bigint, left double, right double, time double, depth double, root_time double")
+    y = spark.createDataFrame([(0, 1, 0.0, 10.0, 3.0, 0.0, 3.0), (0, 2, 0.0, 10.0, 3.0, 0.0, 3.0), (1, 2, 0.0, 10.0, 1.0, 1.0, 3.0)], x.schema)
+    none = spark.createDataFrame([], "difference double")
+    assert ancestry.tree_distance(x, y, none, 0.0, 10.0).first()[0] == pytest.approx(math.sqrt(2))
+    assert ancestry.tree_distance(x, y, none, 1.0, 10.0).first()[0] == pytest.approx(math.sqrt(8))
+    assert ancestry.tree_distance(x, x, none, 0.5, 10.0).first()[0] == 0.0
+
+
+def test_model_tables(spark):
+    from genoflux.plans import model_tables as t
+
+    assert [r["fraction"] for r in t.element_mix(spark, [(1, 1, 3.0), (1, 2, 1.0)]).collect()] == [0.75, 0.25]
+    assert [tuple(r) for r in t.rate_map(spark, [49, 99], [0.0, 0.5], True).collect()] == [(0, 49, 0.0), (50, 99, 0.5)]
+    assert t.ancestral_sequence(spark, "ACG").count() == 3
+    for bad in (lambda: t.rate_map(spark, [9], [0.6], True), lambda: t.rate_map(spark, [9, 5], [0.1, 0.1]), lambda: t.chromosomes(spark, [(1, "Q", 5, "c")]), lambda: t.mutation_types(spark, [(1, 0.5, "g", [1.0])]), lambda: t.genomic_elements(spark, [(1, 0, 9, 1), (1, 5, 12, 1)]), lambda: t.interactions(spark, [(1, "xy", 1.0, "t", [1.0])])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_explicit_recombinants(spark):
+    mut = spark.createDataFrame([(i, 10 * i) for i in range(10)], "mut_id bigint, position bigint")
+    carries = spark.createDataFrame([(1, i) for i in range(0, 10, 2)] + [(2, i) for i in range(1, 10, 2)], "hap_id bigint, mut_id bigint")
+    g = spark.createDataFrame([(7, 1, 2), (8, 1, None)], "hap_id bigint, first bigint, second bigint")
+    cuts = spark.createDataFrame([(7, 30), (7, 60), (8, 40)], "hap_id bigint, position bigint")
+    got = {}
+    for r in simulation.recombinant(g.select("hap_id"), g, carries, mut, cuts).collect():
+        got.setdefault(r["hap_id"], set()).add(r["mut_id"])
+    assert got == {7: {0, 2, 3, 5, 6, 8}, 8: {0, 2}}
+    tracts = simulation.gene_conversion(cuts, 1, 1, 1.0, 5.0)
+    assert tracts.count() == 6
+
+
+def test_images(spark, tmp_path):
+    import struct
+    import zlib
+
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    raw = b"".join(b"\0" + bytes(row) for row in ([255, 0, 0, 0, 255, 0], [0, 0, 255, 9, 8, 7]))
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 2, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    from genoflux.sources.image import read_pixels
+
+    assert {tuple(r)[1:] for r in read_pixels(spark, f"file://{tmp_path}/a.png").collect()} == {(0, 0, 255, 0, 0), (0, 1, 0, 255, 0), (1, 0, 0, 0, 255), (1, 1, 9, 8, 7)}
