@@ -20,7 +20,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     if large:  # larger neighbours of an id go to the smallest of its neighbourhood
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        least = least.select("a", F.least("a", "m").alias("m"))
+        # written out, so that the join has an exchange on either side and Spark can split the links of a hub
+        least = stash(least.select("a", F.least("a", "m").alias("m")), "least")
         moved = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:  # an id and its smaller neighbours go to the smallest of them
         least = links.groupBy("a").agg(F.min("b").alias("m"))

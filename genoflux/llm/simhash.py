@@ -149,7 +149,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, similar: int = 64, most: in
     all_masks = masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("kept")) for t, m in enumerate(all_masks)]))
     dealt = distinct.select("fp", "second", tables.alias("k")).select("fp", "second", "k.t", "k.kept")
-    sizes = dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # written out, so that the join has an exchange on either side and Spark can split a large bucket
+    sizes = stash(dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).where(F.col("n") > 1), "sizes")
     shared = stash(dealt.join(sizes, ["t", "kept"]), "buckets")
     found = _compare(shared.where(F.col("n") <= most).withColumn("side", F.lit(0)), ["t", "kept"], radius, similar)
 
