@@ -38,7 +38,7 @@ from .components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Distinct fingerprints that one task compares with each other.
-MOST = 2048
+MOST = 8192
 #: Bits in which fingerprints of five-word shingles differ at a similarity of 0.8: 10 on average, up to this in 99 of 100 pairs.
 SIMILAR = 16
 
@@ -99,29 +99,24 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS, similar: int = 64) -> list[tuple[int, int]]:
-    """Links, as row numbers, that connect what links within radius connect: among rows x, or from x to y.
-
-    Rows are (fingerprint, second fingerprint), of which the second ones may differ in that many bits."""
-    other = x if y is None else y
-    parent = np.arange(len(x) + (0 if y is None else len(y)))
-    shift = 0 if y is None else len(x)
-
-    def root(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = a = parent[parent[a]]
-        return a
-
-    out = []
-    for lo in range(0, len(x), 256):
-        near = np.bitwise_count(x[lo : lo + 256, None, 0] ^ other[None, :, 0]) <= radius
-        if similar < 64:
-            near &= np.bitwise_count(x[lo : lo + 256, None, 1] ^ other[None, :, 1]) <= similar
-        if y is None:
-            near &= np.arange(len(x))[None, :] > np.arange(lo, min(lo + 256, len(x)))[:, None]
-        for i, j in zip(*(k.tolist() for k in np.nonzero(near))):
-            if (p := root(lo + i)) != (q := root(shift + j)):
-                parent[p] = q
-                out.append((lo + i, j))
+    """Links, as row numbers, that connect what links within radius connect: among rows x, or between x and y, whose rows follow.
+
+    Rows are (fingerprint, second fingerprint), of which the second ones may differ in that many bits.  A row that is reached
+    is never compared again with those reached before, so a dense group costs little more than its size."""
+    rows, side = (x, None) if y is None else (np.concatenate((x, y)), np.arange(len(x) + len(y)) < len(x))
+    left, out = np.arange(len(rows)), []
+    while len(left):
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            now, front = front[:256], front[256:]
+            near = np.bitwise_count(rows[now, None, 0] ^ rows[None, left, 0]) <= radius
+            if similar < 64:
+                near &= np.bitwise_count(rows[now, None, 1] ^ rows[None, left, 1]) <= similar
+            if side is not None:
+                near &= side[now, None] != side[None, left]
+            if len(hit := np.flatnonzero(near.any(axis=0))):
+                out += zip(now[near[:, hit].argmax(axis=0)].tolist(), left[hit].tolist())
+                front, left = np.concatenate((front, left[hit])), np.delete(left, hit)
     return out
 
 
@@ -131,9 +126,17 @@ def _compare(buckets: DataFrame, key: list[str], radius: int, similar: int) -> D
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             links: set[tuple[int, int, int, int]] = set()
-            for sides in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = (np.array(sorted((r["fp"], r["second"]) for r in rows), np.int64).reshape(-1, 2) for rows in sides)
-                links.update((*x[i].tolist(), *(y if len(y) else x)[j].tolist()) for i, j in forest(x, y if len(y) else None, radius, similar))
+            sides = [(b.column(n).offsets.to_numpy(), np.stack([b.column(n).values.field(f).to_numpy() for f in ("fp", "second")], axis=1)) for n in "xy"]
+            (at, xs), (bt, ys) = sides
+            counts, others = np.diff(at), np.diff(bt)
+            # groups of two, by far the most, all at once
+            first = at[:-1][(counts == 2) & (others == 0)]
+            near = np.bitwise_count(xs[first] ^ xs[first + 1])
+            links.update(map(tuple, np.hstack((xs[first], xs[first + 1]))[(near[:, 0] <= radius) & (near[:, 1] <= similar)].tolist()))
+            for g in np.flatnonzero((counts > 2) | (others > 0)):
+                x, y = xs[at[g] : at[g + 1]], ys[bt[g] : bt[g + 1]]
+                both = np.concatenate((x, y))
+                links.update((*both[i].tolist(), *both[j].tolist()) for i, j in forest(x, y if len(y) else None, radius, similar))
             cols = list(zip(*links)) if links else [[]] * 4
             node = lambda i: pa.StructArray.from_arrays([pa.array(cols[i], pa.int64()), pa.array(cols[i + 1], pa.int64())], names=["fp", "second"])
             yield pa.RecordBatch.from_arrays([node(0), node(2)], names=["a", "b"])

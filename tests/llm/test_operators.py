@@ -166,7 +166,7 @@ def brute_components(keys, near):
     return group
 
 
-@pytest.mark.parametrize("most", [2048, 2])
+@pytest.mark.parametrize("most", [8192, 2])
 def test_simhash_classes(docs, most):
     rows = collected(docs)
     fps = [brute_fingerprint(t) for _, t in rows]
@@ -187,7 +187,7 @@ def test_masks_cover_every_pair(radius):
         assert shared and all(any(not x & s for s in simhash.stretches(m, radius)) for m in shared)
 
 
-@pytest.mark.parametrize("most", [2048, 3])
+@pytest.mark.parametrize("most", [8192, 3])
 def test_links_keep_components(spark, most):
     rng = random.Random(3)
     centers = [rng.getrandbits(64) for _ in range(4)]
