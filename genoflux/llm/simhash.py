@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, stash, table
+from .common import partitions, slices, stash, table
 from .components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
@@ -151,7 +151,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, similar: int = 64, most: in
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
     all_masks = masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("kept")) for t, m in enumerate(all_masks)]))
-    dealt = distinct.select("fp", "second", tables.alias("k")).select("fp", "second", "k.t", "k.kept")
+    # each row becomes one for each table, so rows are spread first
+    spread = distinct.repartition(2 * partitions(distinct.sparkSession), "fp", "second")
+    dealt = spread.select("fp", "second", tables.alias("k")).select("fp", "second", "k.t", "k.kept")
     # written out, so that the join has an exchange on either side and Spark can split a large bucket
     sizes = stash(dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).where(F.col("n") > 1), "sizes")
     shared = stash(dealt.join(sizes, ["t", "kept"]), "buckets")
