@@ -19,7 +19,7 @@ import numpy as np
 import public_tokenizers
 
 #: Entries after which a worker's table of encoded chunks starts afresh.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_200_000
 #: Longest chunk, in characters, that is worth keeping.
 CACHE_CHARS = 64
 
