@@ -11,9 +11,7 @@ stretches of the positions that the table ignores, of which a pair within the ra
 large is cut into blocks and each pair of blocks is a group of its own.  Each group returns a spanning forest of
 its links, not all pairs, which keeps every component whole.
 
-``representatives`` finds near-duplicates by words, at a similarity of about 0.8 or more over five-word shingles: three bits can't
-tell that, so its candidates are all pairs within 6 bits of fingerprints of the texts' distinct words, and a second
-fingerprint, of five-word shingles, has to agree in all but ``SIMILAR`` bits.
+``representatives`` finds near-duplicates by words, at a similarity of 0.8 or more over five-word shingles: see ``near_copies``.
 
 Defined cases: texts without a word (null, empty) have fingerprint zero and link like any other; fewer words than a shingle
 are one shingle; repeated rows have one class; a null doc_id takes part, and is a component's id only if all its
@@ -33,17 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import partitions, slices, stash, table
 from .components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Distinct fingerprints that one task compares with each other.
 MOST = 8192
-#: Bits in which fingerprints of five-word shingles differ at a similarity of 0.8: 10 on average, up to this in 99 of 100 pairs.
-SIMILAR = 16
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_ALPHANUMERIC = re.compile(r"[^\W_]+")
 
 
 def masks(radius: int = RADIUS) -> list[int]:
@@ -80,13 +76,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(*shingled(_WORD.findall((text or "").encode("utf-8", "surrogatepass").lower()), shingle))
 
 
-def word_fingerprints(text: str | None) -> tuple[int, int]:
-    """Of a text's distinct words, and of its five-word shingles, where words are letters and digits in lower case."""
-    words = [x.encode() for x in _ALPHANUMERIC.findall((text or "").lower())]
-    distinct = set(words)
-    return majority((xxhash.xxh64_intdigest(x, SEED) for x in distinct), len(distinct)), majority(*shingled(words, 5))
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed 64-bit number."""
 
@@ -189,22 +178,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most:
     return fps.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, radius: int = 6, similar: int = SIMILAR, most: int = MOST) -> DataFrame:
+def representatives(docs: DataFrame, most: int = near_copies.MOST, weight: int = near_copies.WEIGHT) -> DataFrame:
     """documents without near-duplicates: of each component the row with the smallest doc_id stays, null ids first.
 
     Of rows that are the same in doc_id and text, one stays."""
-
-    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            both = [word_fingerprints(x) for x in b.column("text").to_pylist()]
-            fps = (pa.array(np.array([x[i] for x in both], np.uint64).view(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text_hash"), *fps], names=["doc", "text_hash", "fp", "second"])
-
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
-    fps = stash(docs.select(*key, F.col("text").cast("string").alias("text")).mapInArrow(task, "doc bigint, text_hash bigint, fp bigint, second bigint"), "fingerprints")
-    member = _grouped(fps, radius, similar, most)
-    first = fps.groupBy("fp", "second").agg(F.min(F.struct("doc", "text_hash")).alias("first")).join(member, ["fp", "second"])
-    stay = first.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    texts = docs.select(*key, F.col("text").cast("string").alias("text"))
+    fps = stash(near_copies.fingerprints(texts), "fingerprints")
+    roots = components(near_copies.links(texts, fps, most, weight)).select("id.*", "component")
+    member = fps.groupBy("fp", "second").agg(F.min(F.struct("doc", "text_hash")).alias("first")).join(roots, ["fp", "second"], "left")
+    member = member.withColumn("component", F.coalesce("component", F.struct("fp", "second")))
+    stay = member.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     # a kept row may occur more than once; only those need a comparison of whole rows
     counts = fps.groupBy("doc", "text_hash").agg(F.count("*").alias("rows"))
     stay = stash(stay.join(counts, ["doc", "text_hash"]), "stay")

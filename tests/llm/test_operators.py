@@ -227,6 +227,27 @@ def test_representatives(spark):
     assert simhash.representatives(empty(d)).count() == 0
 
 
+def jaccard(a, b):
+    def shingled(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    x, y = shingled(a), shingled(b)
+    return len(x & y) / len(x | y)
+
+
+def test_appended_and_truncated_copies_are_near(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        base = words(rng, rng.randrange(150, 900), 5000)[:-1]
+        n = len(base.split())
+        rows += [(10 * i, base), (10 * i + 1, base + " " + words(rng, int(n * 0.22), 5000)), (10 * i + 2, " ".join(base.split()[: int(n * 0.83)]))]
+        assert jaccard(base, rows[-2][1]) >= 0.8 and jaccard(base, rows[-1][1]) >= 0.8
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.representatives(d).collect()} == {10 * i for i in range(60)}
+
+
 # 5
 
 
