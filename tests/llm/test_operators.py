@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from genoflux.llm import components, decontaminate, language_id, packing, quality, secret_scan, simhash, substrings, token_blocks, token_counts, toxicity
+from genoflux.llm import components, decontaminate, language_id, near_copies, packing, quality, secret_scan, simhash, substrings, token_blocks, token_counts, toxicity
 from genoflux.llm.tokens import encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score double"
@@ -248,6 +248,29 @@ def test_appended_and_truncated_copies_are_near(spark):
     assert {r["doc_id"] for r in simhash.representatives(d).collect()} == {10 * i for i in range(60)}
 
 
+@pytest.mark.parametrize("most", [2048, 3])
+def test_links_of_near_copies_are_counted(spark, most):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(8):  # the same words in another order are no near copy, but a chain of cuts is one
+        parts = [words(rng, 18, 5000)[:-1] for _ in range(20)]
+        texts.append(" ".join(parts))
+        for _ in range(3):
+            rng.shuffle(parts)
+            texts.append(" ".join(parts))
+    chain = words(rng, 400, 5000).split()
+    texts += [" ".join(chain[: int(400 * 0.88**k)]) for k in range(8)]
+    rng.shuffle(texts)
+    want = brute_components(texts, lambda a, b: jaccard(a, b) >= 0.8)
+    assert len(set(want)) == 33
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = simhash.representatives(d) if most == 2048 else simhash.representatives(d, most=most, weight=2000)
+    assert {r["doc_id"] for r in kept.collect()} == {want.index(c) for c in set(want)}
+    sets = [near_copies.shingles(t) for t in texts]
+    links = near_copies.forest(np.concatenate(sets), np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64))
+    assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links) and len(links) == len(texts) - 33
+
+
 # 5
 
 
