@@ -8,8 +8,8 @@ the item always has the same value in the document.
 
 An item of fewer words is one window of its own length.  Windows with fewer than ``LITERALS`` plain words don't count, as they
 would match anywhere; an item that has no other window is matched by its plain words instead.  Items of fewer than
-``SHORTEST`` words can't be told from ordinary text and are left out.  A window that over ``SHARED`` items have stands for the
-first of them.
+``SHORTEST`` words can't be told from ordinary text and are left out.  Items with the same template and the same slots equal are a family:
+its windows and their consistency are found once, and every match is then given to all its items.
 
 The documents' windows are looked up in the sorted hashes of the benchmark's, if these are at most ``FILTER`` (8 bytes each),
 and only those found are shuffled; beyond that all windows are.
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import slices, stash, table
 
-WINDOW, LITERALS, SHORTEST, SHARED = 13, 5, 5, 64
+WINDOW, LITERALS, SHORTEST = 13, 5, 5
+#: Items of a family that meet its matches in one task, about.
+PART = 64
 FILTER = 4_000_000
 #: Units of measure, as written after a number.
 UNITS = frozenset(
@@ -104,37 +106,72 @@ def windows(text: str, n: int, plain: bool) -> tuple[np.ndarray, np.ndarray, np.
     return h, (total[n:] - total[:-n])[: len(h)] >= min(LITERALS, n) if len(h) else np.zeros(0, bool), words, slot
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """Rows (hash, n, plain, item_id, at, values) for items (item_id, text); equal texts are the first of them."""
+def shape(text: str) -> tuple[int, bool]:
+    """The length of an item's windows, 0 if it is left out, and whether they are plain words."""
+    n = min(WINDOW, len(template(text)[0]))
+    return (n, not windows(text, n, False)[1].any()) if n >= SHORTEST else (0, False)
+
+
+def slot_classes(text: str, plain: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its code and the number of its slot's value, -1 without a slot; and the values, by their first place."""
+    codes, words, slot = template(text)
+    if plain:
+        return words, np.full(len(words), -1), words[:0]
+    numbers: dict[int, int] = {}
+    own = np.array([numbers.setdefault(w, len(numbers)) if s else -1 for w, s in zip(words.tolist(), slot.tolist())], np.int64)
+    return codes, own, np.array(list(numbers), np.uint64)
+
+
+def families(benchmark: DataFrame) -> DataFrame:
+    """Rows (family, item_id, text, values) of items (item_id, text); equal texts are the first of them.
+
+    Items of a family have the same template and the same slots equal, so whatever matches one matches all of them; values are those
+    of the slots, in the family's order."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows = []
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
-                n = min(WINDOW, len(template(text)[0]))
-                if n < SHORTEST:
-                    continue
-                plain = False
-                h, ok, words, slot = windows(text, n, False)
-                if not ok.any():
-                    plain = True
-                    h, ok, words, slot = windows(text, n, True)
-                values = words.view(np.int64)
-                rows += [(int(h[i]), n, plain, item, int(i), values[i : i + n][slot[i : i + n]].tolist()) for i in np.flatnonzero(ok)]
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            hashes = pa.array(np.array(cols[0], np.uint64).view(np.int64))
-            kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([hashes, *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names=["hash", "n", "plain", "item_id", "at", "values"])
+                n, plain = shape(text)
+                if n:
+                    codes, own, values = slot_classes(text, plain)
+                    rows.append((xxhash.xxh3_128_digest(bytes([n, plain]) + codes.tobytes() + own.tobytes()), item, text, values.view(np.int64)))
+            cols = list(zip(*rows)) if rows else [[]] * 4
+            kinds = (pa.binary(), pa.int64(), pa.string(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["family", "item_id", "text", "values"])
 
     items = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    return items.mapInArrow(task, "hash bigint, n int, plain boolean, item_id bigint, at bigint, values array<bigint>")
+    return items.mapInArrow(task, "family binary, item_id bigint, text string, values array<bigint>")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, most_filter: int = FILTER) -> DataFrame:
-    """A row for each document and item that share consistent windows: doc_id, text_hash, item_id, n_windows, n_slots, n_changed."""
+def family_windows(items: DataFrame) -> DataFrame:
+    """Rows (hash, n, plain, family, at, classes) for families; classes are the numbers of the values in the window's slots."""
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            rows = []
+            for family, text in zip(b.column("family").to_pylist(), b.column("text").to_pylist()):
+                n, plain = shape(text)
+                h, ok, _, _ = windows(text, n, plain)
+                own = slot_classes(text, plain)[1]
+                rows += [(int(h[i]), n, plain, family, int(i), own[i : i + n][own[i : i + n] >= 0].tolist()) for i in np.flatnonzero(ok)]
+            cols = list(zip(*rows)) if rows else [[]] * 6
+            hashes = pa.array(np.array(cols[0], np.uint64).view(np.int64))
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([hashes, *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], names=["hash", "n", "plain", "family", "at", "classes"])
+
+    one = items.groupBy("family").agg(F.min(F.struct("item_id", "text")).alias("first")).select("family", "first.text")
+    return one.mapInArrow(task, "hash bigint, n int, plain boolean, family binary, at bigint, classes array<bigint>")
+
+
+def family_matches(docs: DataFrame, benchmark: DataFrame, most_filter: int = FILTER) -> tuple[DataFrame, DataFrame]:
+    """A row for each document, family and diagonal with consistent windows: doc_id, text_hash, family, n_windows, filled; and the families.
+
+    filled has the number of each value of the family in these windows and what the document has there."""
     spark = docs.sparkSession
-    items = stash(item_windows(benchmark), "items")
+    known_items = stash(families(benchmark), "families")
+    items = stash(family_windows(known_items), "items")
     shapes = [(r["n"], r["plain"]) for r in items.select("n", "plain").distinct().collect()]  # at most WINDOW of each kind
     distinct = items.select("hash").distinct()
     size = distinct.count()
@@ -170,28 +207,35 @@ def matches(docs: DataFrame, benchmark: DataFrame, most_filter: int = FILTER) ->
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     there = read.mapInArrow(task, "doc_id bigint, text_hash bigint, hash bigint, doc_at bigint, doc_values array<bigint>")
-    first = F.min(F.struct("item_id", "at", "values"))
-    by_hash = items.groupBy("hash").agg(F.count("*").alias("items"), first.alias("first"))
-    few = items.join(by_hash.where(F.col("items") <= SHARED).select("hash"), "hash").select("hash", "item_id", "at", "values")
-    shared = by_hash.where(F.col("items") > SHARED).select("hash", "first.item_id", "first.at", "first.values")
-    met = there.join(few.unionByName(shared), "hash").withColumn("diagonal", F.col("doc_at") - F.col("at"))
-    group = ["doc_id", "text_hash", "item_id", "diagonal"]
+    met = there.join(items.select("hash", "family", "at", "classes"), "hash").withColumn("diagonal", F.col("doc_at") - F.col("at"))
+    group = ["doc_id", "text_hash", "family", "diagonal"]
     # one row for each slot of each window, or one without a slot
-    filled = met.select(*group, F.explode_outer(F.arrays_zip(F.col("values").alias("item_value"), F.col("doc_values").alias("doc_value"))).alias("slot"), "at")
-    value = filled.groupBy(*group, F.col("slot.item_value").alias("item_value")).agg(F.min("slot.doc_value").alias("low"), F.max("slot.doc_value").alias("high"), F.collect_set("at").alias("ats"))
+    filled = met.select(*group, F.explode_outer(F.arrays_zip(F.col("classes").alias("number"), F.col("doc_values").alias("doc_value"))).alias("slot"), "at")
+    value = filled.groupBy(*group, F.col("slot.number").alias("number")).agg(F.min("slot.doc_value").alias("low"), F.max("slot.doc_value").alias("high"), F.collect_set("at").alias("ats"))
     judged = value.groupBy(*group).agg(
         F.max(F.coalesce(F.col("low") != F.col("high"), F.lit(False))).alias("clash"),
-        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
-        F.count("item_value").alias("n_slots"),
-        F.count(F.when(F.col("item_value") != F.col("low"), 1)).alias("n_changed"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("bigint").alias("n_windows"),
+        F.collect_list(F.when(F.col("number").isNotNull(), F.struct("number", "low"))).alias("filled"),
     )
-    best = F.max(F.struct(F.size("ats").cast("bigint").alias("n_windows"), "n_slots", "n_changed")).alias("best")
-    return judged.where(~F.col("clash")).groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.*")
+    return judged.where(~F.col("clash")).select("doc_id", "text_hash", "family", "n_windows", "filled"), known_items
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, most_filter: int = FILTER) -> DataFrame:
+    """A row for each document and item that share consistent windows: doc_id, text_hash, item_id, n_windows, n_slots, n_changed."""
+    found, items = family_matches(docs, benchmark, most_filter)
+    # the items of a large family are dealt to parts, and what matches it goes to each
+    parts = items.groupBy("family").agg(F.ceil(F.count("*") / PART).cast("bigint").alias("parts"))
+    dealt = items.join(parts, "family").select("family", F.pmod(F.xxhash64("item_id"), F.col("parts")).alias("part"), "item_id", "values")
+    spread = found.join(parts, "family").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    changed = F.size(F.filter("filled", lambda x: F.get("values", x["number"].cast("int")) != x["low"])).cast("bigint")
+    met = spread.join(dealt, ["family", "part"]).select("doc_id", "text_hash", "item_id", "n_windows", F.size("filled").cast("bigint").alias("n_slots"), changed.alias("n_changed"))
+    best = F.max(F.struct("n_windows", "n_slots", "n_changed")).alias("best")
+    return met.groupBy("doc_id", "text_hash", "item_id").agg(best).select("doc_id", "text_hash", "item_id", "best.*")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without those that match an item."""
-    hit = stash(matches(docs, benchmark).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "leaks")
+    hit = stash(family_matches(docs, benchmark)[0].select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct(), "leaks")
     same = (F.coalesce(docs["doc_id"].cast("bigint"), F.lit(-(1 << 63))) == F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_hash"))
     return docs.join(hit, same, "left_anti")
 

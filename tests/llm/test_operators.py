@@ -128,6 +128,19 @@ def test_slots_must_be_consistent(spark):
     assert {r["doc_id"] for r in decontaminate.matches(d, items).collect()} == {1}
 
 
+def test_all_items_of_a_template_are_found(spark):
+    item = "mix {} parts of the red powder with {} parts of the blue one and stir until it dissolves in water"
+    texts = [(k, item.format(*((5, 5) if k == 0 else (k + 10, k + 11)))) for k in range(100)]
+    repeat = " ".join(f"then add {k} drops of clear oil and shake the small jar until no foam is left on top" for k in range(70))
+    items = spark.createDataFrame([*texts, (500, repeat)], "item_id bigint, text string")
+    d = spark.createDataFrame([(1, item.format(8, 9)), (2, item.format(60, 61)), (3, item.format(7, 7)), (4, repeat)], "doc_id bigint, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["n_slots"], r["n_changed"]) for r in decontaminate.matches(d, items).collect()}
+    want = {(doc, k): (2, 2) for doc in (1, 2) for k in range(1, 100)} | {(2, 50): (2, 0), (2, 49): (2, 2), (4, 500): (70, 0), (3, 0): (1, 1)}
+    assert {k: v for k, v in found.items() if k in want} == want
+    assert (1, 0) not in found and (2, 0) not in found
+    assert {r["doc_id"] for r in decontaminate.decontaminate(d, items).collect()} == set()
+
+
 # 3
 
 
