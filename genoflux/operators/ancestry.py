@@ -19,7 +19,7 @@ def counts(genotypes: DataFrame, sets: DataFrame) -> DataFrame:
     """Rows (site, sample_set, c, n) of samples in sets (sample_set, sample), 0 included for every set of a site that varies."""
     n = sets.groupBy("sample_set").agg(F.count("*").alias("n"))
     found = genotypes.join(sets, "sample").groupBy("site", "sample_set").agg(F.count("*").alias("c"))
-    every = genotypes.select("site").distinct().join(F.broadcast(n.limit(4096)), F.lit(True))  # a row for each set, of which callers have few
+    every = genotypes.select("site").distinct().crossJoin(n)  # a row for each set
     return every.join(found, ["site", "sample_set"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
 
 

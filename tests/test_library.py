@@ -394,3 +394,10 @@ def test_images(spark, tmp_path):
     from genoflux.sources.image import read_pixels
 
     assert {tuple(r)[1:] for r in read_pixels(spark, f"file://{tmp_path}/a.png").collect()} == {(0, 0, 255, 0, 0), (0, 1, 0, 255, 0), (1, 0, 0, 0, 255), (1, 1, 9, 8, 7)}
+
+
+def test_counts_keep_every_sample_set(spark):
+    sets = spark.range(5000).select(F.col("id").alias("sample_set"), F.col("id").alias("sample"))
+    carried = spark.createDataFrame([(0, 0), (4999, 0), (4321, 1)], "sample bigint, site bigint")
+    c = ancestry.counts(carried, sets)
+    assert c.count() == 10000 and c.where("c = 1").count() == 3
