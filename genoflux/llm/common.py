@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and characters of text that a task works on at once.
-BATCH_ROWS, BATCH_CHARS = 1024, 4_000_000
+BATCH_ROWS, BATCH_CHARS = 1024, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder in spark.checkpoint.dir, which every executor sees; a local one only where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -48,6 +50,14 @@ def drop_stash(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any case of letters."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

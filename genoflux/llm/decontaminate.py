@@ -44,12 +44,15 @@ UNITS = frozenset(
 _NUMBER, _UNIT, _NAME = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("<number>", "<unit>", "<name>"))
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-WORDS = 300_000
+#: Bytes, as estimated, after which a worker's table of words starts afresh, and those of an entry beside its text.
+WORDS_BYTES, _ENTRY = 32 << 20, 49 + 36 + 40
 
 
 class Words(dict):
     """What each word is, by its text: (hash of the plain word, starts with a digit, unit, capitalised, ends a sentence); in 64 bits."""
 
+    size = 0
+
     def __missing__(self, word: str) -> int:
         plain = _EDGES.sub("", word)
         if not plain:
@@ -58,8 +61,10 @@ class Words(dict):
             low = plain.lower()
             code = xxhash.xxh64_intdigest(low.encode("utf-8", "surrogatepass")) & ~63 | 32
             code |= plain[0].isdigit() * 1 | (low in UNITS) * 2 | (plain[0].isupper() and not plain[0].isdigit()) * 4 | (word.rstrip("\"')]»”’")[-1:] in ".!?:") * 16
-        if len(self) >= WORDS:
+        self.size += len(word) + _ENTRY
+        if self.size > WORDS_BYTES:
             self.clear()
+            self.size = len(word) + _ENTRY
         self[word] = code
         return code
 

@@ -37,12 +37,17 @@ BLOCK, SHORT, PRIMER = 512, 256, 2048
 #: Share of the second smallest size by which the smallest has to be less.
 MARGIN = 0.02
 
+#: Letters, and a few characters like fractions and circled numbers, which are none.
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def reduced(text: str) -> bytes:
     """Letters in lower case; what lies between them becomes a space."""
-    return " ".join(_LETTERS.findall(text.lower())).encode("utf-8", "surrogatepass")
+    words = _LETTERS.findall(text.lower())
+    out = " ".join(words)
+    if not "".join(words).isalpha():
+        out = " ".join("".join(c if c.isalpha() else " " for c in out).split())
+    return out.encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame) -> dict[str, bytes]:
@@ -59,10 +64,20 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     few = d.select("lang", "text", at.alias("at"), draw).where(F.col("draw") < share[F.col("lang")]).select("lang", "at", F.substr("text", place, F.lit(SLICE)).alias("part"))
     few = few.dropDuplicates(["lang", "at"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("at"))).where(F.col("rank") <= SAMPLE)
     most = min(DICTIONARY, DICTIONARIES // len(counts))
-    parts: dict[str, list[str]] = {}
+    parts: dict[str, list[bytes]] = {}
     for r in few.orderBy("lang", "at").collect():  # SAMPLE rows of SLICE characters for each language
         parts.setdefault(r["lang"], []).append(reduced(r["part"]))
-    return {lang: b"\n".join(x)[:most] for lang, x in sorted(parts.items())}
+    return {lang: b"\n".join(evenly(x, most)) for lang, x in sorted(parts.items())}
+
+
+def evenly(parts: list[bytes], most: int) -> list[bytes]:
+    """The beginnings of all parts, of one length at most, which fill most bytes with the line feeds between them."""
+    left, sizes, rest = most - len(parts) + 1, sorted(map(len, parts)), len(parts)
+    for n in sizes:  # what short parts leave goes to the others
+        if n * rest > left:
+            return [x[: max(0, left // rest)] for x in parts]
+        left, rest = left - n, rest - 1
+    return parts
 
 
 class Classifier:
@@ -97,8 +112,8 @@ class Classifier:
         return self.langs[best], score, second - sizes[best] < MARGIN * second
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """documents with lang_pred, score and rejected; their other columns stay, but for columns of these names."""
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """documents with a language, a score and whether it is rejected, under these names; other columns stay, but for columns of these names."""
     told = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICTIONARIES bytes
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +121,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         for b in slices(batches):
             found = [model.classify(x) for x in b.column("text").to_pylist()]
             cols = [pa.array([x[i] for x in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *names])
 
-    read = docs.drop("lang_pred", "score", "rejected")
-    told_of = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
-    return read.mapInArrow(task, T.StructType([*read.schema.fields, *told_of]))
+    read = docs.drop(*names)
+    kinds = [T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()))]
+    return read.mapInArrow(task, T.StructType([*read.schema.fields, *kinds]))
 
 
 def held_out(doc_id: Column) -> Column:

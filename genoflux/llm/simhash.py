@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import partitions, slices, stash, table
+from .common import partitions, slices, stash, table, unused
 from .components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
 #: Distinct fingerprints that one task compares with each other.
 MOST = 8192
+#: Links that a task gathers before it passes them on.
+LINKS = 100_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -87,20 +89,22 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(task, "doc_id bigint, fp bigint")
 
 
-def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS, similar: int = 64) -> list[tuple[int, int]]:
-    """Links, as row numbers, that connect what links within radius connect: among rows x, or between x and y, whose rows follow.
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of bits in which 64-bit fingerprints differ; of signed numbers numpy would count the bits of the absolute value."""
+    return np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64))
 
-    Rows are (fingerprint, second fingerprint), of which the second ones may differ in that many bits.  A row that is reached
-    is never compared again with those reached before, so a dense group costs little more than its size."""
+
+def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links, as row numbers, that connect what links within radius connect: among fingerprints x, or between x and y, whose rows follow.
+
+    A row that is reached is never compared again with those reached before, so a dense group costs little more than its size."""
     rows, side = (x, None) if y is None else (np.concatenate((x, y)), np.arange(len(x) + len(y)) < len(x))
     left, out = np.arange(len(rows)), []
     while len(left):
         front, left = left[:1], left[1:]
         while len(front) and len(left):
             now, front = front[:256], front[256:]
-            near = np.bitwise_count(rows[now, None, 0] ^ rows[None, left, 0]) <= radius
-            if similar < 64:
-                near &= np.bitwise_count(rows[now, None, 1] ^ rows[None, left, 1]) <= similar
+            near = differing(rows[now, None], rows[None, left]) <= radius
             if side is not None:
                 near &= side[now, None] != side[None, left]
             if len(hit := np.flatnonzero(near.any(axis=0))):
@@ -109,69 +113,67 @@ def forest(x: np.ndarray, y: np.ndarray | None = None, radius: int = RADIUS, sim
     return out
 
 
-def _compare(buckets: DataFrame, key: list[str], radius: int, similar: int) -> DataFrame:
-    """Links among rows (key, side, fp, second) that share a key: within side 0, or from side 0 to side 1 if there is a side 1."""
+def _compare(buckets: DataFrame, key: list[str], radius: int) -> DataFrame:
+    """Links among rows (key, side, fp) that share a key: within side 0, or from side 0 to side 1 if there is a side 1."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            links: set[tuple[int, int, int, int]] = set()
-            sides = [(b.column(n).offsets.to_numpy(), np.stack([b.column(n).values.field(f).to_numpy() for f in ("fp", "second")], axis=1)) for n in "xy"]
-            (at, xs), (bt, ys) = sides
-            counts, others = np.diff(at), np.diff(bt)
             # groups of two, by far the most, all at once
+            (at, xs), (bt, ys) = ((b.column(n).offsets.to_numpy(), b.column(n).values.to_numpy()) for n in "xy")
+            counts, others = np.diff(at), np.diff(bt)
             first = at[:-1][(counts == 2) & (others == 0)]
-            near = np.bitwise_count(xs[first] ^ xs[first + 1])
-            links.update(map(tuple, np.hstack((xs[first], xs[first + 1]))[(near[:, 0] <= radius) & (near[:, 1] <= similar)].tolist()))
+            first = first[differing(xs[first], xs[first + 1]) <= radius]
+            held, size = [np.stack((xs[first], xs[first + 1]), axis=1)], 0
             for g in np.flatnonzero((counts > 2) | (others > 0)):
                 x, y = xs[at[g] : at[g + 1]], ys[bt[g] : bt[g + 1]]
-                both = np.concatenate((x, y))
-                links.update((*both[i].tolist(), *both[j].tolist()) for i, j in forest(x, y if len(y) else None, radius, similar))
-            cols = list(zip(*links)) if links else [[]] * 4
-            node = lambda i: pa.StructArray.from_arrays([pa.array(cols[i], pa.int64()), pa.array(cols[i + 1], pa.int64())], names=["fp", "second"])
-            yield pa.RecordBatch.from_arrays([node(0), node(2)], names=["a", "b"])
-
-    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("fp", "second")))
+                held.append(np.concatenate((x, y))[np.array(forest(x, y if len(y) else None, radius), np.int64).reshape(-1, 2)])
+                size += len(held[-1])
+                if size > LINKS:
+                    yield batch(held)
+                    held, size = [], 0
+            yield batch(held)
+
+    def batch(held: list[np.ndarray]) -> pa.RecordBatch:
+        found = np.unique(np.concatenate(held), axis=0) if held else np.empty((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    side = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("fp")))
     groups = buckets.groupBy(*key).agg(side(0).alias("x"), side(1).alias("y")).where(F.size("x") + F.size("y") > 1)
-    return groups.select("x", "y").mapInArrow(task, "a struct<fp: bigint, second: bigint>, b struct<fp: bigint, second: bigint>")
+    return groups.select("x", "y").mapInArrow(task, "a bigint, b bigint")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, similar: int = 64, most: int = MOST) -> DataFrame:
-    """Links (a, b) between distinct rows (fp, second) whose components are those of all pairs within the radius."""
+def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
+    """Links (a, b) between distinct rows (fp) whose components are those of all pairs within the radius."""
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("bigint")
     all_masks = masks(radius)
     tables = F.explode(F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col("fp").bitwiseAND(signed(m)).alias("kept")) for t, m in enumerate(all_masks)]))
     # each row becomes one for each table, so rows are spread first
-    spread = distinct.repartition(2 * partitions(distinct.sparkSession), "fp", "second")
-    dealt = spread.select("fp", "second", tables.alias("k")).select("fp", "second", "k.t", "k.kept")
+    spread = distinct.repartition(2 * partitions(distinct.sparkSession), "fp")
+    dealt = spread.select("fp", tables.alias("k")).select("fp", "k.t", "k.kept")
     # written out, so that the join has an exchange on either side and Spark can split a large bucket
     sizes = stash(dealt.groupBy("t", "kept").agg(F.count("*").alias("n")).where(F.col("n") > 1), "sizes")
     shared = stash(dealt.join(sizes, ["t", "kept"]), "buckets")
-    found = _compare(shared.where(F.col("n") <= most).withColumn("side", F.lit(0)), ["t", "kept"], radius, similar)
+    found = _compare(shared.where(F.col("n") <= most).withColumn("side", F.lit(0)), ["t", "kept"], radius)
 
     # buckets that are too large for a task
     parts = F.element_at(F.array(*[F.array(*[signed(x) for x in stretches(m, radius)]) for m in all_masks]), F.col("t") + 1)
-    again = shared.where(F.col("n") > most).select("fp", "second", "t", "kept", F.posexplode(parts).alias("s", "stretch"))
+    again = shared.where(F.col("n") > most).select("fp", "t", "kept", F.posexplode(parts).alias("s", "stretch"))
     again = again.withColumn("part", F.col("fp").bitwiseAND(F.col("stretch"))).drop("stretch")
     key = ["t", "kept", "s", "part"]
     counted = again.join(again.groupBy(*key).agg(F.count("*").alias("m")).where(F.col("m") > 1), key)
     # each row of a group of B blocks goes to the B pairs of blocks that hold its own
-    own = counted.withColumn("blocks", F.ceil(F.col("m") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp", "second"), F.col("blocks")).cast("int"))
+    own = counted.withColumn("blocks", F.ceil(F.col("m") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = own.select(*key, "fp", "second", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return found.union(_compare(own, [*key, "i", "j"], radius, similar))
-
-
-def _grouped(fps: DataFrame, radius: int, similar: int, most: int) -> DataFrame:
-    """Rows (fp, second, component) of rows (fp, second) with component, a row that all reachable ones share."""
-    distinct = stash(fps.select("fp", "second").distinct(), "distinct")
-    roots = components(links(distinct, radius, similar, most)).select("id.*", "component")
-    return distinct.join(roots, ["fp", "second"], "left").withColumn("component", F.coalesce("component", F.struct("fp", "second")))
+    own = own.select(*key, "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return found.union(_compare(own, [*key, "i", "j"], radius))
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id that is reachable over links, of documents."""
-    fps = stash(fingerprints(docs, shingle).withColumn("second", F.lit(0).cast("bigint")), "fingerprints")
-    named = _grouped(fps, radius, 64, most).select("fp", "component")
+    fps = stash(fingerprints(docs, shingle), "fingerprints")
+    distinct = stash(fps.select("fp").distinct(), "distinct")
+    roots = components(links(distinct, radius, most)).withColumnRenamed("id", "fp")
+    named = distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # their smallest doc_ids come from two aggregates, whatever a component's size
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp")
     member = named.join(least.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("fp", "component_id")
@@ -192,9 +194,11 @@ def representatives(docs: DataFrame, most: int = near_copies.MOST, weight: int =
     # a kept row may occur more than once; only those need a comparison of whole rows
     counts = fps.groupBy("doc", "text_hash").agg(F.count("*").alias("rows"))
     stay = stash(stay.join(counts, ["doc", "text_hash"]), "stay")
-    kept = docs.withColumns({"__doc": key[0], "__hash": key[1]}).join(stay.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("rows").alias("__rows")).hint("shuffle_hash"), ["__doc", "__hash"])
-    once, more = kept.where(F.col("__rows") == 1), kept.where(F.col("__rows") > 1)
-    return once.unionByName(more.dropDuplicates(["__doc", "__hash"])).select(*docs.columns)
+    own = [unused(docs, x) for x in ("doc", "hash", "rows")]
+    stay = stay.select(F.col("doc").alias(own[0]), F.col("text_hash").alias(own[1]), F.col("rows").alias(own[2]))
+    kept = docs.withColumns(dict(zip(own, key))).join(stay.hint("shuffle_hash"), own[:2])
+    once, more = kept.where(F.col(own[2]) == 1), kept.where(F.col(own[2]) > 1)
+    return once.unionByName(more.dropDuplicates(own[:2])).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

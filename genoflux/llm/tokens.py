@@ -4,81 +4,96 @@ Both BPE vocabularies used here merge within a pre-token only, so the ids of a t
 concatenated ids of its pre-tokens.  Texts are cut at boundaries where the pre-tokenizer surely
 cuts too (single spaces and newlines), each distinct chunk is encoded once by the ``tokenizers``
 library, and its ids are kept in a bounded table in the Python worker.  A text with any other
-white space goes to the library whole.  ``tests/llm/test_tokens.py`` compares with plain encoding.
+white space goes to the library whole.  ``tests/llm/test_operators.py`` compares with plain encoding.
 """
 
 from __future__ import annotations
 
 import gc
+import os
 import re
 import sys
-from array import array
 from itertools import filterfalse, islice
 
 import numpy as np
 import public_tokenizers
 
-#: Entries after which a worker's table of encoded chunks starts afresh.
-CACHE_ENTRIES = 1_200_000
+#: Bytes, as estimated, after which a worker's table of encoded chunks starts afresh.
+CACHE_BYTES = 96 << 20
+#: New chunks that the library gets at once; each takes some hundred bytes until it is done.
+NEW_CHUNKS = 8192
+#: Bytes of an entry beside its text and ids: two objects and their places in the dict.
+_ENTRY = 49 + 33 + 40
 #: Longest chunk, in characters, that is worth keeping.
 CACHE_CHARS = 64
 
-if sys.byteorder != "little" or array("I").itemsize != 4:
+if sys.byteorder != "little":
     raise ImportError("ids are kept as little-endian unsigned 32-bit integers")
 
 #: White space other than a space or a line feed.
 _ODD_SPACE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _ODD_FOR_WORDS = re.compile("[\x1c-\x1f\x85]")
-_MARKS = ".,;:!?"
+#: Characters whose lower case may differ between libraries.
+_WIDE = re.compile("[^\x00-\xff]")
+#: A mark that ends a word of letters, and so is a pre-token of its own.
+_MARK = re.compile(r"([.,;:!?])(?<=[^\W\d_].)(?=\s|\Z)")
 
 
 class Encoder(dict):
     """ids of whole texts as little-endian unsigned 32-bit bytes; the dict holds chunks' ids."""
 
     def __init__(self, name: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        self.marks: dict[str, bytes] = {}
         self.by_words = name.startswith("word")
+        self.size = 0
 
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _surface(self, chunk: str) -> str:
         """The stretch of text that a chunk stands for."""
-        return chunk if self.by_words or chunk[:1] == "\n" else f" {chunk}"
+        return chunk[1:] if chunk[:1] == "\0" else chunk if self.by_words or chunk[:1] == "\n" else f" {chunk}"
 
     def chunks(self, text: str) -> list[str] | None:
-        """Chunks of a text, or None if it has to be encoded whole.  For byte-level BPE the text is preceded by a space."""
+        """Chunks of a text, or None if it has to be encoded whole.  For byte-level BPE the text is preceded by a space.
+
+        A mark that ends a word is a chunk of its own, after a zero character."""
+        if "\0" in text:
+            return None
         if self.by_words:
-            return None if _ODD_FOR_WORDS.search(text) else text.split()
+            if _ODD_FOR_WORDS.search(text):
+                return None
+            return _MARK.sub(" \0\\1", text if _WIDE.search(text) else text.lower()).split()
         spaced = text.replace("\n", " \n")
-        return None if "  " in spaced or "\n " in spaced or _ODD_SPACE.search(text) else spaced.split(" ")
+        return None if "  " in spaced or "\n " in spaced or _ODD_SPACE.search(text) else _MARK.sub(" \0\\1", spaced).split(" ")
 
     def _learn(self, chunks: set[str]) -> None:
-        """Encodes chunks that are not in the table yet, letters apart from the marks that follow."""
-        pairs, words = [], set()
-        for x in chunks:
-            a = x.rstrip(_MARKS)
-            if a.isalpha() and (len(a) < len(x) or self.by_words) and (not self.by_words or a.isascii() or max(a) < "\u0100"):
-                b = x[len(a) :]
-                if self.by_words:
-                    a = a.lower()
-                if a != x:
-                    pairs.append((x, a, b))
-                    if b and b not in self.marks:
-                        self.marks[b] = self.plain(b)
-                if a not in self:
-                    words.add(a)
-            else:
-                words.add(x)
-        todo = list(words)
-        for x, e in zip(todo, self.tokenizer.encode_batch_fast(todo if self.by_words else [self._surface(x) for x in todo], add_special_tokens=False)):
-            self[x] = array("I", e.ids).tobytes()
-        for x, a, b in pairs:
-            self[x] = self[a] + self.marks[b] if b else self[a]
+        """Encodes chunks that are not in the table yet, words of letters all at once."""
+        words = [x for x in chunks if x.isalpha() and (not self.by_words or x.isascii() or not _WIDE.search(x))]
+        for lo in range(0, len(words), NEW_CHUNKS):
+            part = words[lo : lo + NEW_CHUNKS]
+            for x, ids in zip(part, self._words(part)):
+                self._keep(x, ids)
+        for x in chunks.difference(words):
+            self._keep(x, self.plain(self._surface(x)))
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        self[chunk] = ids
+        self.size += len(chunk) + len(ids) + _ENTRY
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """ids of each word of letters only; all are encoded as one text, as each is a pre-token of its own."""
+        e = self.tokenizer.encode(" ".join(words) if self.by_words else " " + " ".join(words), add_special_tokens=False)
+        number = np.asarray(e.word_ids, np.int64)
+        cuts = np.searchsorted(number, np.arange(len(words) + 1))
+        if not len(number) or number[-1] != len(words) - 1 or (cuts[1:] == cuts[:-1]).any():  # letters of different Unicode versions
+            return [self.plain(self._surface(x)) for x in words]
+        raw, ends = np.asarray(e.ids, "<u4").tobytes(), (4 * cuts).tolist()
+        return [raw[a:z] for a, z in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """ids of each text, as bytes."""
@@ -89,9 +104,6 @@ class Encoder(dict):
             gc.enable()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-            self.marks.clear()
         cut = [self.chunks(x) if x else [] for x in texts]
         new: set[str] = set()
         for c in cut:
@@ -109,6 +121,9 @@ class Encoder(dict):
                 out.append(b"".join(map(get, c)))
             else:
                 out.append((self.plain(c[0]) if c[0] else b"") + b"".join(map(get, c[1:])))
+        if self.size > CACHE_BYTES:
+            self.clear()
+            self.size = 0
         for x in [x for x in new if len(x) > CACHE_CHARS]:
             self.pop(x, None)
         return out

@@ -207,17 +207,31 @@ def test_links_keep_components(spark, most):
     fps = [c ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(4))) for c in centers for _ in range(25)] + [rng.getrandbits(64) for _ in range(30)]
     fps = sorted(set(fps))
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
-    d = spark.createDataFrame([(x, 0) for x in signed], "fp bigint, second bigint")
-    found = simhash.links(d, most=most).select("a.fp", F.col("b.fp").alias("fq")).collect()
+    d = spark.createDataFrame([(x,) for x in signed], "fp bigint")
+    found = simhash.links(d, most=most).collect()
     index = {x: i for i, x in enumerate(signed)}
     for r in found:
-        assert (fps[index[r["fp"]]] ^ fps[index[r["fq"]]]).bit_count() <= 3
-    linked = {frozenset((index[r["fp"]], index[r["fq"]])) for r in found}
+        assert (fps[index[r["a"]]] ^ fps[index[r["b"]]]).bit_count() <= 3
+    linked = {frozenset((index[r["a"]], index[r["b"]])) for r in found}
     want = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 3)
     got = brute_components(list(range(len(fps))), lambda a, b: frozenset((a, b)) in linked)
     assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("most", [8192, 1])
+def test_links_count_the_highest_bit(spark, most):
+    rng, pairs = random.Random(12), {}
+    for k in range(40):  # bit 63 alone, or with up to two others
+        x = rng.getrandbits(64)
+        pairs[x] = x ^ 1 << 63 ^ sum(1 << i for i in rng.sample(range(63), k % 3))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    d = spark.createDataFrame([(signed(x),) for p in pairs.items() for x in p], "fp bigint")
+    found = {frozenset((r["a"], r["b"])) for r in simhash.links(d, most=most).collect()}
+    assert found == {frozenset(map(signed, p)) for p in pairs.items()}
+    rows = np.array([signed(x) for p in pairs.items() for x in p], np.int64)
+    assert len(simhash.forest(rows)) == len(simhash.forest(rows[::2], rows[1::2])) == 40
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (41, 90), (90, 40)]
