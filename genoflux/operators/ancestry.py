@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import NAN, divide
+from .frames import with_index
 
 
 def counts(genotypes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,6 +120,8 @@ def ancestors(nodes: DataFrame, edges: DataFrame, save=lambda df: df, most: int
         if now.isEmpty():
             break
         levels.append(now)
+    else:
+        raise RuntimeError(f"there are ancestors beyond {most} levels")
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
@@ -199,7 +202,7 @@ def split_edges(edges: DataFrame, nodes: DataFrame, time: float, first_id: int)
     j = edges.join(t("parent"), "parent").join(t("child"), "child")
     crossing = (F.col("child_time") < time) & (F.col("parent_time") > time)
     key = ["parent", "child", "left"]
-    new = j.where(crossing).select(*key, "right", (F.row_number().over(Window.orderBy(*key)) + first_id - 1).cast("bigint").alias("id"))
+    new = with_index(j.where(crossing).select(*key, "right"), *key, idx="id").withColumn("id", (F.col("id") + first_id).cast("bigint"))
     halves = new.select("left", "right", "parent", F.col("id").alias("child")).unionByName(new.select("left", "right", F.col("id").alias("parent"), "child"))
     more = new.select("id", F.lit(float(time)).alias("time"))
     return nodes.unionByName(more, allowMissingColumns=True), j.where(~crossing).select("left", "right", "parent", "child").unionByName(halves)
@@ -230,7 +233,7 @@ def subset(nodes: DataFrame, edges: DataFrame, keep: DataFrame) -> tuple[DataFra
 def union(nodes: DataFrame, edges: DataFrame, other_nodes: DataFrame, other_edges: DataFrame, same: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """Two table sets as one: same (id, other_id) are shared nodes, the other's remaining ones get new ids."""
     rest = other_nodes.join(same.select(F.col("other_id").alias("id")), "id", "left_anti")
-    named = rest.select(F.col("id").alias("other_id"), (F.row_number().over(Window.orderBy("id")) + first_id - 1).cast("bigint").alias("id"))
+    named = with_index(rest.select(F.col("id").alias("other_id")), "other_id", idx="id").withColumn("id", (F.col("id") + first_id).cast("bigint"))
     to = same.select("other_id", "id").unionByName(named)
     added = rest.withColumnRenamed("id", "other_id").join(named, "other_id").drop("other_id")
     side = lambda x: to.select(F.col("other_id").alias(x), F.col("id").alias(f"new_{x}"))
@@ -292,8 +295,8 @@ def tree_distance(first: DataFrame, second: DataFrame, depths: DataFrame, weight
     j = j.select("a", "b", F.greatest("x_left", "y_left").alias("left"), F.least("x_right", "y_right").alias("right"), F.pow(value("x_") - value("y_"), F.lit(2.0)).alias("d"))
     pendant = depths.agg(F.coalesce(F.sum(F.pow(F.col("difference") * weight, F.lit(2.0))), F.lit(0.0)).alias("pendant"))
     cuts = j.select(F.explode(F.array("left", "right")).alias("l")).distinct()
-    # one row for each breakpoint between trees, all of one sequence
-    cut = cuts.withColumn("r", F.lead("l").over(Window.orderBy("l"))).where(F.col("r").isNotNull())
+    at = with_index(cuts, "l", idx="k")
+    cut = at.join(at.select((F.col("k") - 1).alias("k"), F.col("l").alias("r")), "k").drop("k")
     sums = j.join(cut, (F.col("left") <= F.col("l")) & (F.col("right") >= F.col("r"))).groupBy("l", "r").agg(F.sum("d").alias("d"))
     return sums.join(F.broadcast(pendant), F.lit(True)).agg((F.sum(F.sqrt(F.col("d") + F.col("pendant")) * (F.col("r") - F.col("l"))) / span).alias("distance"))  # one row
 
@@ -312,8 +315,8 @@ def mutation_times(mutations: DataFrame, edges: DataFrame, nodes: DataFrame, sit
 
 
 def canonical(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ids numbered anew, youngest first, edges moved along: the numbering is one window over the node table."""
-    named = nodes.withColumn("new", (F.row_number().over(Window.orderBy("time", "id")) - 1).cast("bigint"))
+    """Ids numbered anew, youngest first, by ranges; edges are moved along."""
+    named = with_index(nodes, "time", "id", idx="new")
     side = lambda x: named.select(F.col("id").alias(x), F.col("new").alias(f"new_{x}"))
     e = edges.join(side("parent"), "parent").join(side("child"), "child").select("left", "right", F.col("new_parent").alias("parent"), F.col("new_child").alias("child"))
     return named.withColumn("id", F.col("new")).drop("new"), e.orderBy("parent", "child", "left")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.math import _c
-from ..sources.state import fresh
+from .vectors import before
 
 
 def dictionary(**values) -> Column:
@@ -69,16 +69,9 @@ def serialize(d, kind: str = "json") -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_entries(_c(d))), lambda e: F.concat_ws(sep, e["key"], e["value"].cast("string"))), "\n")
 
 
-def with_index(df: DataFrame, *order: str, idx: str = "idx") -> DataFrame:
-    """Adds a 0-based index in the order of columns: ranges are numbered on their own, then moved by what lies before.
-
-    The ranges are sampled, so they are written out before they are used twice."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = fresh(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    sizes = d.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return d.withColumn("__own", own).join(ahead, "__part").withColumn(idx, F.col("__own") + F.col("__ahead")).drop("__part", "__own", "__ahead")
+def with_index(df: DataFrame, *order: str | Column, idx: str = "idx") -> DataFrame:
+    """Adds a 0-based index in the order of columns, by ranges."""
+    return before(df, [], list(order), F.lit(1).cast("bigint"), idx)
 
 
 def cbind(*frames: DataFrame, idx: str = "idx") -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,16 +124,25 @@ def summarize(points: DataFrame, grid: Grid, operation: Column, empty: Column |
     return out
 
 
-def uniform_points_on(df: DataFrame, grid: Grid, seed: int, key: str, tries: int = 32) -> DataFrame:
-    """Points drawn in bounds and accepted with the map's value as their probability; rows that no try settles have null places."""
+def uniform_points_on(df: DataFrame, grid: Grid, seed: int, key: str, tries: int = 32, rounds: int = 1000) -> DataFrame:
+    """Points drawn in bounds and accepted with the map's value as their probability; rows that no try settles draw again, and again."""
     from ..functions.distributions import uniform
+    from ..sources.state import fresh
 
     x0, y0, x1, y1 = grid.bounds
-    draw = lambda t: F.struct(F.lit(t).alias("t"), (x0 + (x1 - x0) * uniform(seed, key, stream=3 * t)).alias("x"), (y0 + (y1 - y0) * uniform(seed, key, stream=3 * t + 1)).alias("y"), uniform(seed, key, stream=3 * t + 2).alias("u"))
-    rows = df.select(key, F.explode(F.array(*[draw(t) for t in range(tries)])).alias("r")).select(key, "r.*")
-    good = grid.nearest_values(rows).where(F.col("u") < F.col("map_value"))
-    first = good.groupBy(key).agg(F.min_by(F.struct("x", "y"), "t").alias("p"))
-    return df.drop("x", "y").join(first, key, "left").select(*[c for c in df.columns if c not in ("x", "y")], "p.x", "p.y")
+    todo, settled = df.select(key), []
+    for k in range(rounds):
+        draw = lambda t: F.struct(F.lit(t).alias("t"), (x0 + (x1 - x0) * uniform(seed, key, stream=3 * t)).alias("x"), (y0 + (y1 - y0) * uniform(seed, key, stream=3 * t + 1)).alias("y"), uniform(seed, key, stream=3 * t + 2).alias("u"))
+        rows = todo.select(key, F.explode(F.array(*[draw(t) for t in range(k * tries, (k + 1) * tries)])).alias("r")).select(key, "r.*")
+        good = grid.nearest_values(rows).where(F.col("u") < F.col("map_value"))
+        settled.append(fresh(good.groupBy(key).agg(F.min_by(F.struct("x", "y"), "t").alias("p")), "points"))
+        todo = fresh(todo.join(settled[-1], key, "left_anti"), "unsettled")
+        if todo.isEmpty():
+            break
+    else:
+        raise ValueError(f"the map's values are too small: some points weren't accepted in {rounds * tries} tries")
+    first = reduce(DataFrame.unionByName, settled)
+    return df.drop("x", "y").join(first, key).select(*[c for c in df.columns if c not in ("x", "y")], "p.x", "p.y")
 
 
 def improved_nearby(points: DataFrame, grid: Grid, seed: int, key: str, sd: float) -> DataFrame:

@@ -1,8 +1,7 @@
 """Vectors as tables: a value for each row and an explicit index column; order comes from the index only.
 
-Running and neighbouring values take a ``by`` list of partition columns.  Without it a window has one partition, which is
-right for small vectors; ``running`` then works by ranges of the index instead, with one row for each range in the single
-partition.
+Ranks, orders, running sums and filters of a whole table work by ranges of its order: each range is settled for itself, and only
+one row for each range (and group) meets in one place, to tell what lies before it.
 """
 
 from __future__ import annotations
@@ -22,21 +21,44 @@ def _over(by: list[str], *order: Column | str):
     return Window.partitionBy(*by).orderBy(*order)
 
 
+def before(df: DataFrame, by: list[str], order: list[Column | str], n: Column, name: str) -> DataFrame:
+    """Adds the sum of n over the rows before each, of its group; neither a group nor the table has to fit in a task."""
+    from ..sources.state import fresh
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # ranges are sampled, so they are written out before they are used twice
+    d = fresh(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = d.groupBy("__part", *by).agg(F.sum(n).alias("__n"))
+    ahead = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part")) - F.col("__n")
+    sizes = sizes.select(F.col("__part").alias("__p"), *[F.col(x).alias(f"__by{i}") for i, x in enumerate(by)], ahead.alias("__ahead"))
+    same = F.col("__part") == F.col("__p")
+    for i, x in enumerate(by):
+        same &= F.col(x).eqNullSafe(F.col(f"__by{i}"))
+    within = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = d.withColumn("__own", F.sum(n).over(within) - n)
+    return own.join(sizes, same).withColumn(name, F.col("__own") + F.col("__ahead")).select(*df.columns, name)
+
+
 def rank(df: DataFrame, value: str, idx: str, ties: str = "average", by: list[str] = [], name: str = "rank") -> DataFrame:  # noqa: B006
     """Ranks from 1; ties: average, first, last, min or max."""
-    w = _over(by, F.col(value))
     if ties in ("first", "last"):
-        out = F.row_number().over(_over(by, F.col(value), F.col(idx) if ties == "first" else F.desc(idx)))
-    else:
-        low, peers = F.rank().over(w), F.count("*").over(Window.partitionBy(*by, value))
-        out = {"min": low, "max": low + peers - 1, "average": low + (peers - 1) / 2.0}[ties]
-    return df.withColumn(name, out)
+        return before(df, by, [F.col(value), F.col(idx) if ties == "first" else F.desc(idx)], F.lit(1), name).withColumn(name, F.col(name) + 1)
+    peers = df.groupBy(*by, value).agg(F.count("*").alias("__peers"))
+    low, n = F.col("__low") + 1, F.col("__peers")
+    out = {"min": low, "max": low + n - 1, "average": low + (n - 1) / 2.0}[ties]
+    keys = [*by, value]
+    ranked = before(peers, by, [F.col(value)], F.col("__peers"), "__low").select(*[F.col(x).alias(f"__key{i}") for i, x in enumerate(keys)], out.alias(name))
+    same = F.lit(True)
+    for i, x in enumerate(keys):
+        same &= F.col(x).eqNullSafe(F.col(f"__key{i}"))
+    return df.join(ranked, same).select(*df.columns, name)
 
 
 def order(df: DataFrame, value: str, idx: str, ascending: bool = True, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows (place, idx): the index of the value at each place of the sorted vector, ties by index."""
     v = F.asc(value) if ascending else F.desc(value)
-    return df.select(*by, F.col(idx), (F.row_number().over(_over(by, v, F.col(idx))) - 1).cast("bigint").alias("place"))
+    rows = df.select(*dict.fromkeys([*by, idx, value]))
+    return before(rows, by, [v, F.col(idx)], F.lit(1), "place").select(*by, idx, F.col("place").cast("bigint"))
 
 
 def cum_sum(df: DataFrame, value: str, idx: str, by: list[str] = [], name: str = "cum_sum") -> DataFrame:  # noqa: B006
@@ -63,7 +85,14 @@ def centered_filter(df: DataFrame, value: str, idx: str, weights: list[float], o
     """Linear filter of odd length, centred.  outside: False gives NaN at the ends, True rescales, a number stands for missing values."""
     if len(weights) % 2 == 0:
         raise ValueError("a centred filter has an odd length")
-    half, w = len(weights) // 2, _over(by, idx)
+    half, columns = len(weights) // 2, [*df.columns, name]
+    if by:
+        w = _over(by, idx)
+    else:  # ranges of places, each with the half-width of rows on either side
+        df = before(df, [], [F.col(idx)], F.lit(1), "__at")
+        own = F.floor(F.col("__at") / RANGE)
+        near = F.array_distinct(F.array(F.floor((F.col("__at") - half) / RANGE), own, F.floor((F.col("__at") + half) / RANGE)))
+        df, w = df.withColumn("__own", own).withColumn("__cell", F.explode(near)), _over(["__cell"], "__at")
     at = lambda k: F.lag(F.col(value).cast("double"), half - k).over(w) if k <= half else F.lead(F.col(value).cast("double"), k - half).over(w)
     there = [(float(x), at(k)) for k, x in enumerate(weights)]
     fill = float(outside) if not isinstance(outside, bool) else 0.0
@@ -73,7 +102,8 @@ def centered_filter(df: DataFrame, value: str, idx: str, weights: list[float], o
     elif outside is True:
         seen = sum((F.when(v.isNotNull(), abs(x)).otherwise(0.0) for x, v in there), F.lit(0.0))
         total = total * sum(map(abs, weights)) / seen
-    return df.withColumn(name, total)
+    out = df.withColumn(name, total)
+    return out if by else out.where(F.col("__cell") == F.col("__own")).select(*columns)
 
 
 def tabulate(df: DataFrame, bin_column: str, max_bin: int | None = None) -> DataFrame:

@@ -176,9 +176,9 @@ def string_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).documents.select("doc_id", strings.nchar(t).alias("bytes"), strings.strcontains(t, "the").alias("has_the"), strings.strfind(t, "an").alias("at_an"), strings.strprefix(t, "T").alias("starts"), strings.strsuffix(t, ".").alias("ends"), F.size(strings.strsplit(t, " ")).cast("bigint").alias("parts"), strings.substr(t, F.lit(2), F.lit(6)).alias("part"), strings.grep(t, "[0-9]+").alias("has_digit"))
 
 
-@query(V + "SELECT event_type, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY idx) AS joined FROM vals WHERE idx < 50 GROUP BY event_type")
+@query(V + "SELECT user_id, string_agg(CAST(idx AS VARCHAR), '-' ORDER BY idx) AS joined FROM vals GROUP BY user_id")
 def paste_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Tables(spark, sf_dir).values.where("idx < 50").groupBy("event_type").agg(stats.paste("idx", "idx", "-").alias("joined"))
+    return Tables(spark, sf_dir).values.groupBy("user_id").agg(stats.paste("idx", "idx", "-").alias("joined"))
 
 
 @query("SELECT vec_id, list_transform(list_distinct(list_transform(embedding[1:6], lambda x: sign(x)::INT)), lambda x: x) IS NOT NULL AS ok, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total, CAST(len(list_filter(embedding, lambda x: x > 0)) AS BIGINT) AS positive, list_reverse(list_sort(embedding))[1] AS top FROM embeddings")
@@ -275,11 +275,11 @@ def find_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).values.select("idx", draw.find_interval("v", [10.0, 20.0, 50.0, 80.0]).alias("interval"))
 
 
-@query("SELECT o_orderkey, (SELECT count(*) FROM (SELECT DISTINCT p_retailprice * 100 AS b FROM part) WHERE b <= o_totalprice) - 1 AS interval FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, (SELECT count(*) FROM (SELECT DISTINCT p_retailprice * 100 AS b FROM part) WHERE b <= o_totalprice) - 1 AS interval FROM orders")
 def find_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals among as many breaks as there are prices; every tenth order is the query set."""
+    """Intervals among as many breaks as there are prices."""
     t = Tables(spark, sf_dir)
-    x = t.orders.where("o_orderkey % 10 = 0").select("o_orderkey", "o_totalprice")
+    x = t.orders.select("o_orderkey", "o_totalprice")
     return vectors.find_interval(x, "o_totalprice", t.part.select((F.col("p_retailprice") * 100).alias("b")), "b").select("o_orderkey", "interval")
 
 
@@ -480,12 +480,12 @@ def inbreeding_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return popgen.inbreeding_load(t.freq, t.mutation).select(r("inbreeding_load").alias("inbreeding_load"))
 
 
-@query(V + "SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, round((SELECT count(*) FROM (SELECT mut_id FROM carries c WHERE c.hap_id IN (a.hap_id, b.hap_id) GROUP BY 1 HAVING count(*) = 1)) / l, 15) AS heterozygosity FROM haplosome a JOIN haplosome b ON b.hap_id = a.hap_id + 1, len WHERE a.copy = 0 AND a.ind_id % 20 = 0")
+@query(V + ", held AS (SELECT hap_id, count(*) AS k FROM carries GROUP BY 1), shared AS (SELECT x.hap_id, count(*) AS k FROM carries x JOIN carries y ON y.hap_id = x.hap_id + 1 AND y.mut_id = x.mut_id GROUP BY 1) SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, round((coalesce(ha.k, 0) + coalesce(hb.k, 0) - 2 * coalesce(s.k, 0)) / l, 15) AS heterozygosity FROM haplosome a JOIN haplosome b ON b.hap_id = a.hap_id + 1 LEFT JOIN held ha ON ha.hap_id = a.hap_id LEFT JOIN held hb ON hb.hap_id = b.hap_id LEFT JOIN shared s ON s.hap_id = a.hap_id, len WHERE a.copy = 0")
 def pair_heterozygosity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of both haplosomes of every twentieth individual, the query set."""
     t = Tables(spark, sf_dir)
     h = t.haplosome
-    pairs = h.where("copy = 0 and ind_id % 20 = 0").select(F.col("hap_id").alias("hap_a"), (F.col("hap_id") + 1).alias("hap_b")).join(h.select(F.col("hap_id").alias("hap_b")), "hap_b", "left_semi")
+    pairs = h.where("copy = 0").select(F.col("hap_id").alias("hap_a"), (F.col("hap_id") + 1).alias("hap_b")).join(h.select(F.col("hap_id").alias("hap_b")), "hap_b", "left_semi")
     return popgen.pair_heterozygosity(t.carries, pairs, t.length).select("hap_a", "hap_b", r("heterozygosity", 15).alias("heterozygosity"))
 
 
@@ -701,12 +701,12 @@ def relatedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _related_pairs(spark, sf_dir).select("a", "b", pedigree.relatedness().alias("relatedness"))
 
 
-@query("WITH m AS (SELECT p_partkey * 5000 AS start, lead(p_partkey * 5000, 1, 100000000) OVER (ORDER BY p_partkey) - 1 AS stop, p_size * 1e-8 AS rate FROM part WHERE p_partkey % 10 = 0), o AS (SELECT o_orderkey, o_orderkey * 700 AS position FROM orders WHERE o_orderkey < 20000) SELECT o_orderkey, start, round(rate, 15) AS rate FROM o LEFT JOIN m ON position BETWEEN start AND stop")
+@query("WITH m AS (SELECT p_partkey * 5000 AS start, coalesce(lead(p_partkey * 5000) OVER (ORDER BY p_partkey), 1000000000000) - 1 AS stop, p_size * 1e-8 AS rate FROM part), o AS (SELECT o_orderkey, o_orderkey * 700 AS position FROM orders) SELECT o_orderkey, start, round(rate, 15) AS rate FROM o LEFT JOIN m ON position BETWEEN start AND stop")
 def rate_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of a map from starts, at positions."""
     t = Tables(spark, sf_dir)
-    m = genome.from_starts(t.part.where("p_partkey % 10 = 0").select((F.col("p_partkey") * 5000).alias("start"), F.col("p_size").alias("rate")), 99_999_999, 1e-8)
-    p = t.orders.where("o_orderkey < 20000").select("o_orderkey", (F.col("o_orderkey") * 700).alias("position"))
+    m = genome.from_starts(t.part.select((F.col("p_partkey") * 5000).alias("start"), F.col("p_size").alias("rate")), 999_999_999_999, 1e-8)
+    p = t.orders.select("o_orderkey", (F.col("o_orderkey") * 700).alias("position"))
     return genome.at_positions(p, m).select("o_orderkey", "start", r("rate", 15).alias("rate"))
 
 
@@ -717,12 +717,12 @@ def recombination_breakpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return genome.breakpoints(t.haplosome, m, 2.0, 5, "hap_id")
 
 
-_SETS = V + ", gt AS (SELECT hap_id AS sample, mut_id AS site FROM carries), sets AS (SELECT subpop AS sample_set, hap_id AS sample FROM haplosome WHERE subpop < 3), ns AS (SELECT sample_set, count(*) AS n FROM sets GROUP BY 1), c AS (SELECT site, sample_set, coalesce(k, 0) AS c, n FROM (SELECT DISTINCT site FROM gt), ns LEFT JOIN (SELECT site AS s2, sample_set AS ss, count(*) AS k FROM gt JOIN sets USING (sample) GROUP BY 1, 2) ON s2 = site AND ss = sample_set) "
+_SETS = V + ", gt AS (SELECT hap_id AS sample, mut_id AS site FROM carries), sets AS (SELECT subpop AS sample_set, hap_id AS sample FROM haplosome), ns AS (SELECT sample_set, count(*) AS n FROM sets GROUP BY 1), c AS (SELECT site, sample_set, coalesce(k, 0) AS c, n FROM (SELECT DISTINCT site FROM gt), ns LEFT JOIN (SELECT site AS s2, sample_set AS ss, count(*) AS k FROM gt JOIN sets USING (sample) GROUP BY 1, 2) ON s2 = site AND ss = sample_set) "
 
 
 def _counts(t: Tables) -> tuple[DataFrame, DataFrame]:
     gt = t.carries.select(F.col("hap_id").alias("sample"), F.col("mut_id").alias("site"))
-    return gt, ancestry.counts(gt, t.haplosome.where("subpop < 3").select(F.col("subpop").alias("sample_set"), F.col("hap_id").alias("sample")))
+    return gt, ancestry.counts(gt, t.haplosome.select(F.col("subpop").alias("sample_set"), F.col("hap_id").alias("sample")))
 
 
 @query(_SETS + "SELECT floor(site * 1000 / 200000.0)::BIGINT AS window, sample_set, round(sum(2.0::DOUBLE * c * (n - c) / (n * (n - 1))) / 200000, 15) AS stat FROM c GROUP BY 1, 2")
@@ -767,10 +767,10 @@ def relatedness_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.relatedness_vector(_counts(t)[0], s, s.withColumn("w", (F.col("sample") % 7).cast("double"))).select("sample", F.round("value", 4).alias("value"))
 
 
-@query(V + ", pr AS (SELECT mut_id AS a, mut_id + 1 AS b FROM mutation WHERE mut_id % 5 = 0), q AS (SELECT pr.a, pr.b, fa.p, fb.p AS q, (SELECT count(*) FROM carries x JOIN carries y ON x.hap_id = y.hap_id WHERE x.mut_id = pr.a AND y.mut_id = pr.b)::DOUBLE / fa.n AS pq FROM pr JOIN freq fa ON fa.mut_id = pr.a JOIN freq fb ON fb.mut_id = pr.b) SELECT a, b, round(pq - p * q, 12) AS d, round((pq - p * q) / sqrt(p * (1 - p) * q * (1 - q)), 9) AS r FROM q")
+@query(V + ", pr AS (SELECT mut_id AS a, mut_id + 1 AS b FROM mutation), both_ AS (SELECT x.mut_id AS a, count(*) AS k FROM carries x JOIN carries y ON x.hap_id = y.hap_id AND y.mut_id = x.mut_id + 1 GROUP BY 1), q AS (SELECT pr.a, pr.b, fa.p, fb.p AS q, coalesce(k, 0)::DOUBLE / fa.n AS pq FROM pr JOIN freq fa ON fa.mut_id = pr.a JOIN freq fb ON fb.mut_id = pr.b LEFT JOIN both_ ON both_.a = pr.a) SELECT a, b, round(pq - p * q, 12) AS d, round((pq - p * q) / sqrt(p * (1 - p) * q * (1 - q)), 9) AS r FROM q")
 def two_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    pairs = t.mutation.where("mut_id % 5 = 0").select(F.col("mut_id").alias("a"), (F.col("mut_id") + 1).alias("b"))
+    pairs = t.mutation.select(F.col("mut_id").alias("a"), (F.col("mut_id") + 1).alias("b"))
     return ancestry.two_locus(_counts(t)[0], pairs, t.haplosome.count()).select("a", "b", r("d", 12).alias("d"), r("r").alias("r"))
 
 
@@ -810,12 +810,19 @@ def identity_by_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ancestry.identity_by_descent(_mrcas(spark, sf_dir), 1.0, 2.0)
 
 
-@query("SELECT problem, n FROM (SELECT '' AS problem, 0::BIGINT AS n) WHERE n > 0")
+@query("""WITH node AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 7 <> 0), edge AS (SELECT c_custkey AS child, c_nationkey + 1000000 AS parent, c_custkey % 11 = 0 AS hollow, c_custkey % 13 = 0 AS young FROM customer),
+mut AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS site, l_suppkey AS node FROM lineitem), site AS (SELECT p_partkey AS id, p_partkey // 2 AS position FROM part WHERE p_partkey % 5 <> 0)
+SELECT * FROM (SELECT 'edge without a child node' AS problem, count(*) AS n FROM edge WHERE child NOT IN (SELECT id FROM node) UNION ALL SELECT 'edge with an empty interval', count(*) FROM edge WHERE hollow
+UNION ALL SELECT 'parent not older than its child', count(*) FROM edge WHERE young AND child IN (SELECT id FROM node) UNION ALL SELECT 'mutation without a site', count(*) FROM mut WHERE site NOT IN (SELECT id FROM site)
+UNION ALL SELECT 'mutation without a node', count(*) FROM mut WHERE node NOT IN (SELECT id FROM node) UNION ALL SELECT 'two sites at one position', count(*) FROM (SELECT position FROM site GROUP BY 1 HAVING count(*) > 1)) WHERE n > 0""")
 def ancestry_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of customers below nations with planted faults: missing nodes and sites, hollow edges, children as old as their parents."""
     t = Tables(spark, sf_dir)
-    nodes, edges = _tree(t)
-    sites = t.mutation.select(F.col("mut_id").alias("id"), "position")
-    mutations = t.customer.where("c_custkey <= 100").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("node"), F.col("c_custkey").alias("site")).join(sites.select(F.col("id").alias("site")), "site", "left_semi")
+    k = F.col("c_custkey")
+    nodes = t.customer.where(k % 7 != 0).select(k.alias("id"), F.when(k % 13 == 0, 1.0).otherwise(0.0).alias("time")).union(t.nation.select((F.col("n_nationkey") + 1_000_000).cast("bigint"), F.lit(1.0)))
+    edges = t.customer.select(F.lit(0.0).alias("left"), F.when(k % 11 == 0, 0.0).otherwise(100.0).alias("right"), (F.col("c_nationkey") + 1_000_000).cast("bigint").alias("parent"), k.alias("child"))
+    sites = t.part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("id"), F.expr("p_partkey div 2").alias("position"))
+    mutations = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("site"), F.col("l_suppkey").alias("node"))
     return ancestry.integrity_errors(nodes, edges, sites, mutations)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import with_index
+
 
 def read_ms(spark: SparkSession, path: str, length: int) -> tuple[DataFrame, DataFrame]:
     """mutation (replicate, site, position) and carries (replicate, haplosome, site).
@@ -25,12 +27,8 @@ def ms_lines(carries: DataFrame, haplosomes: DataFrame, mutations: DataFrame, le
     sites = held.select("mut_id").distinct().join(mutations.select("mut_id", "position"), "mut_id").agg(F.array_sort(F.collect_list(F.struct("position", "mut_id"))).alias("sites"))
     own = haplosomes.select("hap_id").join(held.groupBy("hap_id").agg(F.collect_set("mut_id").alias("held")), "hap_id", "left")
     bits = F.array_join(F.transform("sites", lambda s: F.when(F.coalesce(F.array_contains("held", s["mut_id"]), F.lit(False)), "1").otherwise("0")), "")
-    body = own.join(F.broadcast(sites), F.lit(True)).select((F.dense_rank().over(_by("hap_id")) + 2).alias("place"), bits.alias("value"))  # one row
+    body = own.join(F.broadcast(sites), F.lit(True)).select("hap_id", bits.alias("value"))  # one row, as long as any line of the file
+    body = with_index(body, "hap_id", idx="place").select((F.col("place") + 3).cast("int").alias("place"), "value")
     head = sites.select(F.inline(F.array(F.struct(F.lit(0).alias("place"), F.lit("//").alias("value")), F.struct(F.lit(1).alias("place"), F.concat(F.lit("segsites: "), F.size("sites").cast("string")).alias("value")), F.struct(F.lit(2).alias("place"), F.concat(F.lit("positions: "), F.array_join(F.transform("sites", lambda s: F.format_number(s["position"] / F.lit(float(length - 1)), 7)), " ")).alias("value")))))
     return head.unionByName(body)
 
-
-def _by(*cols: str):
-    from pyspark.sql import Window
-
-    return Window.orderBy(*cols)  # over haplosomes of a sample

@@ -35,13 +35,19 @@ def fixed_lines(substitutions: DataFrame) -> DataFrame:
     return substitutions.select("mut_id", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("mut_id", "position", "s", "fixation_tick")]).alias("value"))
 
 
-def fresh(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new folder in spark.checkpoint.dir and read again; a local folder only where that is unset."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which every executor sees; a local folder only where that is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def fresh(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder in spark.checkpoint.dir and read again."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

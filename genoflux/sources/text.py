@@ -23,14 +23,15 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, types: str | N
 
     types: a code for each column (l, i, f, s, ? to guess, _ to leave out); without it all are guessed, in the order logical, integer, float, string."""
     if sep == "":
-        lines = spark.read.text(path)
-        if comment:
-            lines = lines.select(F.split("value", "\\Q" + comment + "\\E", 2)[0].alias("value"))
-        fields = lines.where(F.trim("value") != "").select(F.split(F.trim("value"), "\\s+").alias("f"))
-        first = fields.first()["f"]
-        names = first if header else [f"X{i + 1}" for i in range(len(first))]
-        df = fields.where(F.col("f") != F.array(*map(F.lit, first))) if header else fields
-        df = df.select(*[F.col("f")[i].alias(n) for i, n in enumerate(names)])
+        # as a file of one column, so that Spark takes each file's first line for its header
+        lines = spark.read.csv(path, header=header, sep="\x01", quote="", escape="", comment=comment or None)
+        names = lines.columns[0].split() if header else None
+        value = F.split(lines[lines.columns[0]], "\\Q" + comment + "\\E", 2)[0] if comment else lines[lines.columns[0]]
+        fields = lines.select(F.trim(value).alias("value")).where(F.col("value") != "").select(F.split("value", "\\s+").alias("f"))
+        if names is None:
+            first = fields.first()
+            names = [f"X{i + 1}" for i in range(len(first["f"]) if first else 0)]
+        df = fields.select(*[F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)])
     else:
         df = spark.read.csv(path, header=header, sep=sep, quote=quote, comment=comment or None)
         if not header:

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from genoflux.plans import more_queries  # noqa: F401
 from genoflux.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
