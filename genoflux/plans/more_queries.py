@@ -300,15 +300,17 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_csv(spark, path)
 
 
-@query(V + ", h AS (SELECT DISTINCT mut_id, hap_id // 2 AS sample, hap_id % 2 AS copy FROM carries) SELECT (position + 0)::BIGINT AS position, mut_id, s, dominance, m.mut_type::INT AS mut_type, k AS calls FROM (SELECT mut_id, count(*) AS k FROM h GROUP BY 1) JOIN mutation m USING (mut_id)")
+@query(V + ", h AS (SELECT DISTINCT l_partkey AS mut_id, s_nationkey AS sample, l_linenumber % 2 AS copy FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) SELECT position, mut_id, s, dominance, m.mut_type::INT AS mut_type, calls, copies FROM (SELECT mut_id, count(*) AS calls, sum(copy)::BIGINT AS copies FROM h GROUP BY 1) JOIN mutation m USING (mut_id)")
 def vcf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Variant lines with effects, dominance and types, read again; calls counted."""
+    """Variants of nations with two haplosomes each, with effects, dominance and types, read again; calls counted."""
     t = Tables(spark, sf_dir)
-    hap = t.haplosome.select("hap_id", F.expr("hap_id div 2").alias("sample"), F.col("copy"))
-    lines = vcf.vcf_lines(t.carries.join(hap, "hap_id", "left_semi"), hap, t.mutation.withColumn("origin", F.lit(1).cast("bigint")))
+    nation, copy = F.col("s_nationkey").cast("bigint"), (F.col("l_linenumber") % 2).cast("int")
+    held = t.lineitem.join(t.supplier.withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select((2 * nation + copy).alias("hap_id"), F.col("l_partkey").alias("mut_id")).distinct()
+    hap = t.nation.select(F.col("n_nationkey").cast("bigint").alias("sample"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).withColumn("hap_id", 2 * F.col("sample") + F.col("copy"))
+    lines = vcf.vcf_lines(held, hap, t.mutation.withColumn("origin", F.lit(1).cast("bigint")))
     sites, calls = vcf.read_vcf(spark, _written(lines))
-    n = calls.groupBy("position").agg(F.count("*").alias("calls"))
-    return sites.join(n, "position").select("position", (F.col("position") / 1000).cast("bigint").alias("mut_id"), "s", "dominance", "mut_type", "calls")
+    n = calls.groupBy("position").agg(F.count("*").alias("calls"), F.sum("copy").alias("copies"))
+    return sites.join(n, "position").select("position", (F.col("position") / 1000).cast("bigint").alias("mut_id"), "s", "dominance", "mut_type", "calls", "copies")
 
 
 @query("WITH h AS (SELECT DISTINCT s_suppkey AS hap, k FROM supplier, range(0, 9) t(k) WHERE (s_suppkey * 7 + k * 3) % 5 < 2) SELECT k * 10 AS position, count(*) AS n FROM h GROUP BY 1")

@@ -701,11 +701,11 @@ def relatedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _related_pairs(spark, sf_dir).select("a", "b", pedigree.relatedness().alias("relatedness"))
 
 
-@query("WITH m AS (SELECT p_partkey * 5000 AS start, coalesce(lead(p_partkey * 5000) OVER (ORDER BY p_partkey), 1000000000000) - 1 AS stop, p_size * 1e-8 AS rate FROM part), o AS (SELECT o_orderkey, o_orderkey * 700 AS position FROM orders) SELECT o_orderkey, start, round(rate, 15) AS rate FROM o LEFT JOIN m ON position BETWEEN start AND stop")
+@query("WITH m AS (SELECT p_partkey * 5000 AS start, coalesce(lead(p_partkey * 5000) OVER (ORDER BY p_partkey), 200000000) - 1 AS stop, p_size * 1e-8 AS rate FROM part), o AS (SELECT o_orderkey, o_orderkey * 700 AS position FROM orders) SELECT o_orderkey, start, round(rate, 15) AS rate FROM o LEFT JOIN m ON position BETWEEN start AND stop")
 def rate_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates of a map from starts, at positions."""
     t = Tables(spark, sf_dir)
-    m = genome.from_starts(t.part.select((F.col("p_partkey") * 5000).alias("start"), F.col("p_size").alias("rate")), 999_999_999_999, 1e-8)
+    m = genome.from_starts(t.part.select((F.col("p_partkey") * 5000).alias("start"), F.col("p_size").alias("rate")), 199_999_999, 1e-8)
     p = t.orders.select("o_orderkey", (F.col("o_orderkey") * 700).alias("position"))
     return genome.at_positions(p, m).select("o_orderkey", "start", r("rate", 15).alias("rate"))
 
