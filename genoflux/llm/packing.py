@@ -3,7 +3,8 @@
 Each task encodes its documents and packs their pieces as they come: a piece goes to the open sequence that it fills
 best, found as the lowest set bit of a bitset keyed by free space.  At most ``open_bins`` sequences are open; when
 another is needed, the fullest closes first.  Pieces in sequences that are still open when a task ends are packed once
-more, longest first, in a 32nd of the tasks, so that partly filled sequences remain for few tasks only.
+more in the same way, in a 32nd of the tasks, so that partly filled sequences remain for few tasks only.  There they come
+in runs of about ``RUN`` pieces, longest first within a run: what one run leaves open, the short pieces of the next ones fill.
 
 Only documents longer than ``capacity`` are cut, into pieces of ``capacity`` ids; the last may be shorter.
 Defined cases: a null or empty text gives one piece, the end id; repeated rows are packed as often as they occur, each
@@ -27,6 +28,8 @@ from .tokens import encoder
 FIELDS = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint, settled boolean"
 #: Sequences of a task have ids from its number times this; those of the second round have negative ones.
 IDS_OF_TASK = 1 << 32
+#: Pieces that are sorted together in the second round.
+RUN = 1024
 
 
 class Bins:
@@ -104,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.j
         yield _rows(list(bins.rest()), base, False, with_ids)
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins, base = Bins(capacity, 1 << 30), -(TaskContext.get().partitionId() + 1) * IDS_OF_TASK
+        bins, base = Bins(capacity, open_bins), -(TaskContext.get().partitionId() + 1) * IDS_OF_TASK
         for b in batches:
             shut = [bins.add(p[3], p) for p in zip(*(b.column(n).to_pylist() for n in ("doc_id", "piece", "start", "length", "ids_crc32")), b.column("ids").to_pylist() if with_ids else [None] * b.num_rows)]
             yield _rows([x for x in shut if x], base, True, with_ids)
@@ -113,8 +116,10 @@ def pack(docs: DataFrame, capacity: int = 2048, tokenizer: str = "word_bpe_49k.j
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     placed = stash(read.mapInArrow(first, fields), "packed")
     tasks = max(1, read.rdd.getNumPartitions() // 32)
-    left = placed.where(~F.col("settled")).repartition(tasks, F.xxhash64("doc_id", "piece", "sequence_id", "offset"))
-    left = left.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "sequence_id", "offset").mapInArrow(second, fields)
+    left = placed.where(~F.col("settled"))
+    runs = max(1, left.count() // RUN)
+    left = left.withColumn("run", F.pmod(F.xxhash64("doc_id", "piece", "sequence_id", "offset"), F.lit(runs))).repartition(tasks, "run")
+    left = left.sortWithinPartitions("run", F.desc("length"), "doc_id", "piece", "sequence_id", "offset").drop("run").mapInArrow(second, fields)
     return placed.where("settled").unionByName(left).drop("settled")
 
 
