@@ -1,17 +1,20 @@
 """Operator 5: toxic spans by a linear-chain conditional random field.
 
 Tokens are words; a token's features are its plain form in lower case and the form's first 4, 5 and 6 letters.  Features that
-mark toxic documents are chosen by counting over a bounded sample of labelled rows, a word of a toxic document with such a
-feature is a toxic token, and the field is trained on stretches of these labelled tokens.  Scoring runs forward-backward
-over the whole text: only words with a feature need a step of their own, since what lies between them is a power of one
-2 x 2 matrix.  The marginals give offending spans; a logistic curve, fitted on the sample, turns the total of their evidence
-into a document's score.
+mark toxic documents are chosen by counting over a bounded sample of labelled rows.  Only documents have labels, so those of
+tokens are inferred: the sample has two halves, and a token of a toxic document is toxic if one of its features marks
+toxic documents in the other half.  What a document alone has doesn't count that way.  The field is trained on stretches of
+tokens with these labels, by L-BFGS.  Scoring runs forward-backward over the whole text: only words with a feature need a step of
+their own, since what lies between them is a power of one 2 x 2 matrix.  The marginals give offending spans; a logistic curve,
+fitted on the sample, turns the total of their evidence into a document's score.
 
-Learning: at most ``SAMPLE`` rows of each label (those with the smallest hashes of doc_id), ``FEATURES`` features and
-``STRETCHES`` stretches.  Labels are joined by doc_id; several labels of one are the largest, null ones are left out.
+Learning: at most ``SAMPLE`` rows of each label (those with the smallest hashes of doc_id), ``FEATURES`` features (those in most toxic
+documents, then in alphabetical order) and ``STRETCHES`` different stretches (by hash; equal ones are one with a weight); all three are
+parameters of ``learn``.  Labels are joined by doc_id; several labels of one are the largest, null ones are left out.
 
 Defined cases: a null or empty text gets the score of a text without any feature; without both labels every score is 0;
-repeated rows are scored each for itself; an empty table gives no row.
+repeated rows are scored each for itself; equal texts have equal scores, and there is no order to break ties in; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +36,12 @@ SAMPLE, FEATURES, STRETCHES = 6000, 4096, 20_000
 #: Documents of the sample that a feature has to be in, at least and as a share of the toxic ones, and its odds there.
 LEAST, SHARE, ODDS = 3, 0.004, 20.0
 PREFIXES = (4, 5, 6)
+#: Of squared weights, against the likelihood of a stretch.
+PENALTY = 1e-5
 #: Words of a stretch that is trained on.
 STRETCH = 48
-WORDS = 500_000
+WORDS = 200_000
+COUNTS = ("clean0", "toxic0", "clean1", "toxic1")
 
 _PLAIN = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -136,55 +142,103 @@ def evidence_of(p: np.ndarray) -> float:
     return float(np.log1p(-np.log1p(-np.minimum(p, 1 - 1e-9)).sum()))
 
 
-def _fit_field(words: list[str], stretches: list[tuple[list[tuple[int, list[int]]], int, bool]], rounds: int = 200) -> Field:
-    """Maximum likelihood, with a small penalty, by Adam.  stretches: ([(place, features)], length, whether these are toxic)."""
-    n, k = len(stretches), len(words)
-    rows = [(s, t, f) for s, (tokens, _, _) in enumerate(stretches) for t, fs in tokens for f in fs]
-    s_of, t_of, f_of = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
-    length = np.array([x for _, x, _ in stretches])
-    gold = np.zeros((STRETCH, n), np.int64)
-    for s, (tokens, _, toxic) in enumerate(stretches):
-        if toxic:
-            gold[[t for t, _ in tokens], s] = 1
-    inside = np.arange(STRETCH)[:, None] < length
-    before = np.vstack([np.zeros((1, n), np.int64), gold[:-1]])
-    theta, m, v = np.zeros(k + 5), np.zeros(k + 5), np.zeros(k + 5)  # features, bias, four steps
-    theta[k] = -3.0
-    gold_counts = np.zeros(k + 5)
-    np.add.at(gold_counts, f_of, gold[t_of, s_of])
-    gold_counts[k] = (gold * inside).sum()
-    for i in range(4):
-        gold_counts[k + 1 + i] = ((before == i // 2) & (gold == i % 2) & inside).sum()
-    for r in range(rounds):
+def minimum(value: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, rounds: int, small: float = 1e-5) -> np.ndarray:
+    """Where a smooth function, which returns its value and gradient, is least, by limited-memory BFGS from x."""
+    f, g = value(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < small:
+            break
+        d, taken = -g, []
+        for s, y in reversed(past):
+            taken.append(a := (s @ d) / (s @ y))
+            d = d - a * y
+        if past:
+            s, y = past[-1]
+            d = d * (s @ y) / (y @ y)
+        else:
+            d = d / max(1.0, np.abs(d).max())
+        for (s, y), a in zip(past, reversed(taken)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        slope, step = g @ d, 1.0
+        while True:
+            new_f, new_g = value(x + step * d)
+            if new_f <= f + 1e-4 * step * slope:
+                break
+            step /= 2
+            if step < 1e-6:
+                return x
+        s, y = step * d, new_g - g
+        past = [*past, (s, y)][-8:] if s @ y > 1e-12 else past
+        done = f - new_f < small * small
+        x, f, g = x + s, new_f, new_g
+        if done:
+            break
+    return x
+
+
+class Stretches:
+    """Stretches to train on: (tokens (place, features, whether it is bad), length, whether toxic, weight)."""
+
+    def __init__(self, k: int, rows: list[tuple]) -> None:
+        self.k, self.n = k, len(rows)
+        tokens = [(s, *t) for s, (found, _, _, _) in enumerate(rows) for t in found]
+        self.s_of, self.t_of, self.f_of = (np.array(x, np.int64) for x in zip(*((s, t, f) for s, t, fs, _ in tokens for f in fs)))
+        self.length, self.toxic, self.weight = (np.array([r[i] for r in rows]) for i in (1, 2, 3))
+        self.inside = np.arange(STRETCH)[:, None] < self.length
+        gold = np.zeros((STRETCH, self.n), np.int64)
+        for s, t, _, bad in tokens:
+            gold[t, s] = bad and self.toxic[s]
+        before, w = np.vstack([np.zeros((1, self.n), np.int64), gold[:-1]]), self.weight
+        self.gold = np.zeros(k + 5)
+        np.add.at(self.gold, self.f_of, gold[self.t_of, self.s_of] * w[self.s_of])
+        self.gold[k] = (gold * w).sum()
+        for i in range(4):
+            self.gold[k + 1 + i] = (((before == i // 2) & (gold == i % 2) & self.inside) * w).sum()
+
+    def loss(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Negative likelihood for each stretch with a small penalty, and its gradient.  theta: features, bias, four steps."""
+        value, expected = self.sweep(theta)
+        total = self.weight.sum()
+        return (value - theta @ self.gold) / total + PENALTY / 2 * theta @ theta, (expected - self.gold) / total + PENALTY * theta
+
+    def sweep(self, theta: np.ndarray) -> tuple[float, np.ndarray]:
+        """Log partition and expected counts, by forward and backward steps over all stretches."""
+        n, k, w = self.n, self.k, self.weight
         emit = np.full((STRETCH, n), theta[k])
-        np.add.at(emit, (t_of, s_of), theta[f_of])
-        e = np.stack([np.ones_like(emit), np.exp(np.clip(emit, -50, 50))], axis=2)
+        np.add.at(emit, (self.t_of, self.s_of), theta[self.f_of])
+        most = np.maximum(emit, 0.0)  # both states' weights are less by this factor
+        e = np.exp(np.stack([-most, emit - most], axis=2))
         step = np.exp(theta[k + 1 :].reshape(2, 2))
-        f, fs = np.tile([1.0, 0.0], (n, 1)), []
+        f, fs, value = np.tile([1.0, 0.0], (n, 1)), [], (w * most * self.inside).sum()
         for t in range(STRETCH):
             g = (f @ step) * e[t]
-            g /= g.sum(axis=1, keepdims=True)
-            f = np.where(inside[t][:, None], g, f)
+            size = g.sum(axis=1)
+            value += (w * np.where(self.inside[t], np.log(size), 0.0)).sum()
+            f = np.where(self.inside[t][:, None], g / size[:, None], f)
             fs.append(f)
-        b = np.ones((n, 2))
-        expected = np.zeros(k + 5)
-        marginal = np.zeros((STRETCH, n))
+        b, expected, marginal = np.ones((n, 2)), np.zeros(k + 5), np.zeros((STRETCH, n))
         for t in range(STRETCH - 1, -1, -1):
             ahead = e[t] * b
             prev = fs[t - 1] if t else np.tile([1.0, 0.0], (n, 1))
             pair = prev[:, :, None] * step[None] * ahead[:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            pair *= inside[t][:, None, None]
-            expected[k + 1 :] += pair.sum(axis=0).ravel()
+            pair *= (self.inside[t] / pair.sum(axis=(1, 2)))[:, None, None]
             marginal[t] = pair[:, :, 1].sum(axis=1)
-            nb = ahead @ step.T
-            nb /= nb.sum(axis=1, keepdims=True)
-            b = np.where(inside[t][:, None], nb, b)
-        np.add.at(expected, f_of, marginal[t_of, s_of])
-        expected[k] = marginal.sum()
-        grad = (gold_counts - expected) / n - 1e-5 * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        theta = theta + 0.2 * (m / (1 - 0.9 ** (r + 1))) / (np.sqrt(v / (1 - 0.999 ** (r + 1))) + 1e-9)
+            expected[k + 1 :] += (pair * w[:, None, None]).sum(axis=0).ravel()
+            back = ahead @ step.T
+            b = np.where(self.inside[t][:, None], back / back.sum(axis=1, keepdims=True), b)
+        np.add.at(expected, self.f_of, marginal[self.t_of, self.s_of] * w[self.s_of])
+        expected[k] = (marginal * w).sum()
+        return value, expected
+
+
+def _fit_field(words: list[str], rows: list[tuple], rounds: int = 60) -> Field:
+    """Maximum likelihood of the labels."""
+    k = len(words)
+    theta = np.zeros(k + 5)
+    theta[k] = -3.0
+    if k:
+        theta = minimum(Stretches(k, rows).loss, theta, rounds)
     return Field(dict(zip(words, theta[:k].tolist())), float(theta[k]), theta[k + 1 :].reshape(2, 2), (0.0, 1.0))
 
 
@@ -209,49 +263,59 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     return joined.groupBy(F.xxhash64("text").alias("h"), "toxic").agg(F.first("text").alias("text")).select("toxic", "text")
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Field | None:
-    rows = stash(sample(docs, labels), "labelled")
-    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, features_most: int = FEATURES, stretches_most: int = STRETCHES) -> Field | None:
+    rows = stash(sample(docs, labels, most).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "labelled")
+    sizes = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    clean, toxic = (sum(n for (_, y), n in sizes.items() if y == label) for label in (0, 1))
+    if not clean or not toxic:
         return None
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[str]] = {}
         for b in slices(batches):
-            held = (Counter(), Counter())
-            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+            held = tuple(Counter() for _ in range(4))
+            for label, half, text in zip(*(b.column(x).to_pylist() for x in ("toxic", "half", "text"))):
                 words = set(text.split())
                 for w in words.difference(known):
                     known[w] = features(w)
-                held[toxic].update({f for w in words for f in known[w]})
+                held[2 * half + label].update({f for w in words for f in known[w]})
             if len(known) > WORDS:
                 known.clear()
-            names = list(held[0] | held[1])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([h[x] for x in names], pa.int64()) for h in held)], names=["feature", "clean", "toxic"])
+            names = list(set().union(*held))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([h[x] for x in names], pa.int64()) for h in held)], names=["feature", *COUNTS])
+
+    counted = rows.mapInArrow(count, "feature string, " + ", ".join(f"{x} bigint" for x in COUNTS)).groupBy("feature").agg(*(F.sum(x).alias(x) for x in COUNTS))
+
+    def marks(there: Column, n: int, elsewhere: Column, m: int) -> Column:
+        odds = there / max(1, n) / ((elsewhere + 0.5) / max(1, m))
+        return (there >= max(LEAST, SHARE * n)) & (odds >= ODDS)
 
-    counted = rows.mapInArrow(count, "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 0.5) / sizes[0])
-    chosen = counted.where((F.col("toxic") >= max(LEAST, SHARE * sizes[1])) & (odds >= ODDS)).orderBy(F.desc("toxic"), "feature").limit(FEATURES)
-    names = [r["feature"] for r in chosen.collect()]
-    index = {x: i for i, x in enumerate(names)}
+    in_toxic = F.col("toxic0") + F.col("toxic1")
+    by_half = [marks(F.col(f"toxic{h}"), sizes.get((h, 1), 0), F.col(f"clean{h}"), sizes.get((h, 0), 0)).alias(f"marks{h}") for h in (0, 1)]
+    chosen = counted.where(marks(in_toxic, toxic, F.col("clean0") + F.col("clean1"), clean)).orderBy(in_toxic.desc(), "feature").limit(features_most)
+    found = chosen.select("feature", *by_half).collect()
+    names = [r["feature"] for r in found]
+    # the number of a feature, and whether it marks toxic documents in the half that a text of half 0 or 1 isn't in
+    index = {r["feature"]: (i, r["marks1"], r["marks0"]) for i, r in enumerate(found)}
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             out = []
-            for toxic, text in zip(b.column("toxic").to_pylist(), b.column("text").to_pylist()):
+            for label, half, text in zip(*(b.column(x).to_pylist() for x in ("toxic", "half", "text"))):
                 words = text.split()
-                tokens = [(t, fs) for t, w in enumerate(words) if (fs := [index[f] for f in features(w) if f in index])]
+                tokens = [(t, own) for t, w in enumerate(words) if (own := [index[f] for f in features(w) if f in index])]
                 starts = list(dict.fromkeys(t // STRETCH * STRETCH for t, _ in tokens)) or ([0] if words else [])
                 for lo in starts:
-                    part = [{"at": t - lo, "features": fs} for t, fs in tokens if lo <= t < lo + STRETCH]
-                    out.append((part, min(STRETCH, len(words) - lo), bool(toxic)))
-            kinds = (pa.list_(pa.struct([("at", pa.int64()), ("features", pa.list_(pa.int64()))])), pa.int64(), pa.bool_())
+                    part = [{"at": t - lo, "features": [x[0] for x in own], "bad": any(x[1 + half] for x in own)} for t, own in tokens if lo <= t < lo + STRETCH]
+                    out.append((part, min(STRETCH, len(words) - lo), bool(label)))
+            kinds = (pa.list_(pa.struct([("at", pa.int64()), ("features", pa.list_(pa.int64())), ("bad", pa.bool_())])), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 3, kinds)], names=["tokens", "length", "toxic"])
 
-    stretches = rows.mapInArrow(cut, "tokens array<struct<at: bigint, features: array<bigint>>>, length bigint, toxic boolean")
+    stretches = rows.mapInArrow(cut, "tokens array<struct<at: bigint, features: array<bigint>, bad: boolean>>, length bigint, toxic boolean")
+    stretches = stretches.groupBy("tokens", "length", "toxic").agg(F.count("*").alias("weight"))
     # which of them is decided by content, not by where they lie
-    drawn = stretches.orderBy(F.xxhash64("tokens", "length", "toxic"), "length").limit(STRETCHES).collect()
-    field = _fit_field(names, [([(t["at"], t["features"]) for t in r["tokens"]], r["length"], r["toxic"]) for r in drawn])
+    drawn = stretches.orderBy(F.xxhash64("tokens", "length", "toxic"), "length").limit(stretches_most).collect()
+    field = _fit_field(names, [([(t["at"], t["features"], t["bad"]) for t in r["tokens"]], r["length"], r["toxic"], r["weight"]) for r in drawn])
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(field)
