@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, stash, table
 from .tokens import encoder
 
 #: Lengths that one window works on; sums of whole ranges are added afterwards.
-RANGE = 4096
+RANGE = 512
 
 
 def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "text") -> DataFrame:
@@ -37,7 +37,8 @@ def lengths(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", text: str = "
 def histogram(lengths: DataFrame) -> DataFrame:
     """A row for each length n_tokens: n_docs, total_tokens, and with the sums from the ends
     docs_at_most, docs_at_least, tokens_at_least, and truncated_tokens, the corpus's size at the context limit n_tokens."""
-    h = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("total_tokens", F.col("n_tokens") * F.col("n_docs"))
+    # written out, as it is read twice below and must not be encoded twice
+    h = stash(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths").withColumn("total_tokens", F.col("n_tokens") * F.col("n_docs"))
     h = h.withColumn("part", F.floor(F.col("n_tokens") / RANGE))
     up, down = Window.orderBy("part"), Window.orderBy(F.desc("part"))
     parts = h.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("total_tokens").alias("t"))
