@@ -145,11 +145,19 @@ def inbreeding_load(freq: DataFrame, mutations: DataFrame) -> DataFrame:
     return j.agg(F.coalesce(F.sum(q * s) - F.sum(q * q * s) - 2 * F.sum(q * (1 - q) * s * h), F.lit(0.0)).alias("inbreeding_load"))
 
 
-def pair_heterozygosity(carries: DataFrame, pairs: DataFrame, length: float) -> DataFrame:
-    """Rows (hap_a, hap_b, heterozygosity) of pairs: mutations that only one of both carries, over the length."""
+def pair_heterozygosity(carries: DataFrame, pairs: DataFrame, length: float, mutations: DataFrame | None = None, infinite_sites: bool = True, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Rows (hap_a, hap_b, heterozygosity) of pairs: mutations that only one of both carries, over the length.
+
+    Without infinite sites their different positions count.  With start and end only what lies there, over its own length; either
+    needs mutations (mut_id, position)."""
+    if start is not None and end is not None:
+        mutations, length = within(mutations, start, end), float(end - start + 1)
+        carries = carries.join(mutations.select("mut_id"), "mut_id", "left_semi")
     sides = pairs.select("hap_a", "hap_b", F.explode(F.array("hap_a", "hap_b")).alias("hap_id"))
-    own = sides.join(carries, "hap_id").groupBy("hap_a", "hap_b", "mut_id").agg(F.count("*").alias("k"))
-    apart = own.groupBy("hap_a", "hap_b").agg(F.count(F.when(F.col("k") == 1, 1)).alias("apart"))
+    own = sides.join(carries, "hap_id").groupBy("hap_a", "hap_b", "mut_id").agg(F.count("*").alias("k")).where(F.col("k") == 1)
+    if not infinite_sites:
+        own = own.join(mutations.select("mut_id", "position"), "mut_id").select("hap_a", "hap_b", "position").distinct()
+    apart = own.groupBy("hap_a", "hap_b").agg(F.count("*").alias("apart"))
     return pairs.join(apart, ["hap_a", "hap_b"], "left").select("hap_a", "hap_b", (F.coalesce("apart", F.lit(0)) / length).alias("heterozygosity"))
 
 
@@ -163,15 +171,24 @@ def zygosity_code(copies: Column, ploidy: Column, homozygous=2, heterozygous=1,
     return F.when(copies == 0, 0).when(copies == 2, homozygous).when(ploidy == 2, heterozygous).when(ploidy == 1, hemizygous).otherwise(haploid)
 
 
-def runs_of_homozygosity(carries: DataFrame, haplosomes: DataFrame, mutations: DataFrame, last_position: int, minimum: int = 1_000_000) -> DataFrame:
-    """Rows (ind_id, f_roh) of individuals with two haplosomes: the share of the chromosome in long runs between heterozygous positions."""
-    het = zygosity(carries, haplosomes).where(F.col("copies") == 1).join(mutations.select("mut_id", "position"), "mut_id").select("ind_id", "position").distinct()
-    whole = haplosomes.groupBy("ind_id").agg(F.count("*").alias("k")).where(F.col("k") == 2).select("ind_id")
-    ends = whole.select("ind_id", F.lit(last_position + 1).cast("bigint").alias("position"))
-    marks = het.join(whole, "ind_id", "left_semi").unionByName(ends)
-    before = F.lag("position", 1, -1).over(Window.partitionBy("ind_id").orderBy("position"))
-    runs = marks.select("ind_id", (F.col("position") - before - 1).alias("run"))
-    return runs.groupBy("ind_id").agg((F.coalesce(F.sum(F.when(F.col("run") >= minimum, F.col("run"))), F.lit(0)) / float(last_position + 1)).alias("f_roh"))
+def runs_of_homozygosity(carries: DataFrame, haplosomes: DataFrame, mutations: DataFrame, last_position: int | DataFrame, minimum: int = 1_000_000) -> DataFrame:
+    """Rows (ind_id, f_roh) of individuals with two haplosomes: the share of their chromosomes in long runs between heterozygous positions.
+
+    last_position is that of the only chromosome, or a table (chrom, last_position); then haplosomes and mutations have chrom, and
+    only chromosomes of which an individual has two haplosomes count."""
+    if isinstance(last_position, DataFrame):
+        ends = last_position.select("chrom", F.col("last_position").cast("bigint").alias("last_position"))
+    else:
+        ends = haplosomes.sparkSession.range(1).select(F.lit("").alias("chrom"), F.lit(int(last_position)).cast("bigint").alias("last_position"))
+        haplosomes, mutations = haplosomes.withColumn("chrom", F.lit("")), mutations.withColumn("chrom", F.lit(""))
+    key = ["ind_id", "chrom"]
+    het = zygosity(carries, haplosomes).where(F.col("copies") == 1).join(mutations.select("mut_id", "chrom", "position"), "mut_id").select(*key, "position").distinct()
+    whole = haplosomes.groupBy(*key).agg(F.count("*").alias("k")).where(F.col("k") == 2).select(*key).join(ends, "chrom")
+    marks = het.join(whole, key, "left_semi").unionByName(whole.select(*key, (F.col("last_position") + 1).alias("position")))
+    before = F.lag("position", 1, -1).over(Window.partitionBy(*key).orderBy("position"))
+    runs = marks.select("ind_id", (F.col("position") - before - 1).alias("run")).groupBy("ind_id").agg(F.coalesce(F.sum(F.when(F.col("run") >= minimum, F.col("run"))), F.lit(0)).alias("long"))
+    total = whole.groupBy("ind_id").agg(F.sum(F.col("last_position") + 1).cast("double").alias("total"))
+    return runs.join(total, "ind_id").select("ind_id", (F.col("long") / F.col("total")).alias("f_roh"))
 
 
 def mean_f_roh(roh: DataFrame) -> DataFrame:

@@ -392,6 +392,47 @@ def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(F.broadcast(g.value_range()), F.lit(True))  # one row
 
 
+@query(V + ", site AS (SELECT mut_id, mut_id // 40 AS position FROM mutation), one AS (SELECT hap_id // 2 AS ind_id, mut_id FROM carries GROUP BY 1, 2 HAVING count(*) = 1), apart AS (SELECT ind_id, count(DISTINCT position) AS k FROM one JOIN site USING (mut_id) WHERE position BETWEEN 1 AND 30 GROUP BY 1) SELECT a.hap_id AS hap_a, a.hap_id + 1 AS hap_b, round(coalesce(k, 0) / 30.0::DOUBLE, 12) AS heterozygosity FROM haplosome a JOIN haplosome b ON b.hap_id = a.hap_id + 1 LEFT JOIN apart ON apart.ind_id = a.hap_id // 2 WHERE a.copy = 0")
+def pair_heterozygosity_of_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different positions within bounds, where many mutations share one."""
+    t = Tables(spark, sf_dir)
+    h, site = t.haplosome, t.mutation.select("mut_id", F.expr("mut_id div 40").alias("position"))
+    pairs = h.where("copy = 0").select(F.col("hap_id").alias("hap_a"), (F.col("hap_id") + 1).alias("hap_b")).join(h.select(F.col("hap_id").alias("hap_b")), "hap_b", "left_semi")
+    return popgen.pair_heterozygosity(t.carries, pairs, t.length, site, False, 1, 30).select("hap_a", "hap_b", F.round("heterozygosity", 12).alias("heterozygosity"))
+
+
+_ROH = V + """, h AS (SELECT hap_id, ind_id, CAST(ind_id % 3 AS VARCHAR) AS chrom FROM haplosome UNION ALL SELECT hap_id + 100000000, ind_id, CAST(3 + ind_id % 2 AS VARCHAR) FROM haplosome),
+k AS (SELECT hap_id + CASE WHEN mut_id % 2 = 0 THEN 100000000 ELSE 0 END AS hap_id, mut_id FROM carries), z AS (SELECT ind_id, chrom, mut_id FROM k JOIN h USING (hap_id) GROUP BY 1, 2, 3 HAVING count(*) = 1),
+site AS (SELECT mut_id, CASE WHEN mut_id % 2 = 0 THEN '3' ELSE '0' END AS chrom, mut_id * 10 AS position FROM mutation), ends AS (SELECT CAST(i AS VARCHAR) AS chrom, 1000000 * (i + 1) - 1 AS last FROM range(5) t(i)),
+w AS (SELECT ind_id, chrom, last FROM (SELECT ind_id, chrom FROM h GROUP BY 1, 2 HAVING count(*) = 2) JOIN ends USING (chrom)),
+m AS (SELECT DISTINCT z.ind_id, z.chrom, position FROM z JOIN site ON site.mut_id = z.mut_id AND site.chrom = z.chrom JOIN w ON w.ind_id = z.ind_id AND w.chrom = z.chrom UNION ALL SELECT ind_id, chrom, last + 1 FROM w),
+g AS (SELECT ind_id, position - lag(position, 1, -1) OVER (PARTITION BY ind_id, chrom ORDER BY position) - 1 AS run FROM m), sums AS (SELECT ind_id, sum(last + 1) AS t FROM w GROUP BY 1),
+roh AS (SELECT ind_id, coalesce(sum(run) FILTER (WHERE run >= 5000), 0) / any_value(t)::DOUBLE AS f_roh FROM g JOIN sums USING (ind_id) GROUP BY 1) """
+
+
+@query(_ROH + "SELECT ind_id, round(f_roh, 9) AS f_roh FROM roh")
+def homozygosity_by_chromosome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs on two of five chromosomes of each individual, over the length of both."""
+    return _roh(spark, sf_dir).select("ind_id", r("f_roh").alias("f_roh"))
+
+
+@query(_ROH + "SELECT round(avg(f_roh), 9) AS mean_f_roh FROM roh")
+def mean_homozygosity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return popgen.mean_f_roh(_roh(spark, sf_dir)).select(r("mean_f_roh").alias("mean_f_roh"))
+
+
+def _roh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = Tables(spark, sf_dir)
+    h, second, even = t.haplosome, F.lit(100_000_000).cast("bigint"), F.col("mut_id") % 2 == 0
+    both = h.select("hap_id", "ind_id", (F.col("ind_id") % 3).cast("string").alias("chrom")).union(h.select(F.col("hap_id") + second, "ind_id", (3 + F.col("ind_id") % 2).cast("string")))
+    held = t.carries.select((F.col("hap_id") + F.when(even, second).otherwise(0)).alias("hap_id"), "mut_id")
+    site = t.mutation.select("mut_id", F.when(even, "3").otherwise("0").alias("chrom"), (F.col("mut_id") * 10).alias("position"))
+    ends = spark.range(5).select(F.col("id").cast("string").alias("chrom"), (1_000_000 * (F.col("id") + 1) - 1).alias("last_position"))
+    # a mutation counts on its own chromosome only
+    own = held.join(both, "hap_id").join(site.select("mut_id", F.col("chrom").alias("at")), "mut_id").where(F.col("chrom") == F.col("at")).select("hap_id", "mut_id")
+    return popgen.runs_of_homozygosity(own, both, site, ends, 5_000)
+
+
 # ---- logs and ancestry
 
 

@@ -482,7 +482,7 @@ def inbreeding_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(V + ", held AS (SELECT hap_id, count(*) AS k FROM carries GROUP BY 1), shared AS (SELECT x.hap_id, count(*) AS k FROM carries x JOIN carries y ON y.hap_id = x.hap_id + 1 AND y.mut_id = x.mut_id GROUP BY 1) SELECT a.hap_id AS hap_a, b.hap_id AS hap_b, round((coalesce(ha.k, 0) + coalesce(hb.k, 0) - 2 * coalesce(s.k, 0)) / l, 15) AS heterozygosity FROM haplosome a JOIN haplosome b ON b.hap_id = a.hap_id + 1 LEFT JOIN held ha ON ha.hap_id = a.hap_id LEFT JOIN held hb ON hb.hap_id = b.hap_id LEFT JOIN shared s ON s.hap_id = a.hap_id, len WHERE a.copy = 0")
 def pair_heterozygosity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of both haplosomes of every twentieth individual, the query set."""
+    """Of both haplosomes of every individual."""
     t = Tables(spark, sf_dir)
     h = t.haplosome
     pairs = h.where("copy = 0").select(F.col("hap_id").alias("hap_a"), (F.col("hap_id") + 1).alias("hap_b")).join(h.select(F.col("hap_id").alias("hap_b")), "hap_b", "left_semi")
