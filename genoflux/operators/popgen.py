@@ -7,6 +7,8 @@ not from carries, as a haplosome may carry nothing.  Mutations come from ``mutat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,15 @@ def frequencies(counts: DataFrame, haplosomes: DataFrame, by: list[str] = []) ->
 
 
 def _harmonic(n: Column, power: int = 1) -> Column:
-    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(2)) - 1), F.lit(0.0), lambda a, i: a + 1.0 / (i.cast("double") if power == 1 else i.cast("double") * i.cast("double")))
+    """Sum of 1 / i, or 1 / i ** 2, for i below n: term by term up to a thousand, then by the asymptotic series, which is exact in doubles there."""
+    few = F.sequence(F.lit(1).cast("bigint"), F.greatest(F.least(n, F.lit(1000)), F.lit(2)).cast("bigint") - 1)
+    terms = F.aggregate(few, F.lit(0.0), lambda a, i: a + 1.0 / (i.cast("double") if power == 1 else i.cast("double") * i.cast("double")))
+    x = F.greatest(n, F.lit(1)).cast("double")
+    if power == 1:
+        series = F.ln(x) + 0.5772156649015329 - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x * x * x * x)
+    else:
+        series = math.pi**2 / 6 - 1 / x - 1 / (2 * x * x) - 1 / (6 * x * x * x)
+    return F.when(n <= 1000, terms).otherwise(series)
 
 
 def _segregating() -> Column:
