@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .common import partitions, slices, stash, table, unused
+from .common import joinable, partitions, slices, stash, table, unused
 from .components import components
 
 RADIUS, SEED, SHINGLE = 3, 42, 3
@@ -188,16 +188,19 @@ def representatives(docs: DataFrame, most: int = near_copies.MOST, weight: int =
     texts = docs.select(*key, F.col("text").cast("string").alias("text"))
     fps = stash(near_copies.fingerprints(texts), "fingerprints")
     roots = components(near_copies.links(texts, fps, most, weight)).select("id.*", "component")
-    member = fps.groupBy("fp", "second").agg(F.min(F.struct("doc", "text_hash")).alias("first")).join(roots, ["fp", "second"], "left")
-    member = member.withColumn("component", F.coalesce("component", F.struct("fp", "second")))
-    stay = member.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    # a kept row may occur more than once; only those need a comparison of whole rows
-    counts = fps.groupBy("doc", "text_hash").agg(F.count("*").alias("rows"))
-    stay = stash(stay.join(counts, ["doc", "text_hash"]), "stay")
-    own = [unused(docs, x) for x in ("doc", "hash", "rows")]
-    stay = stay.select(F.col("doc").alias(own[0]), F.col("text_hash").alias(own[1]), F.col("rows").alias(own[2]))
-    kept = docs.withColumns(dict(zip(own, key))).join(stay.hint("shuffle_hash"), own[:2])
-    once, more = kept.where(F.col(own[2]) == 1), kept.where(F.col(own[2]) > 1)
+    roots = roots.unionByName(roots.select("component.*", "component").distinct())
+    # rows of sets that have a component or another row
+    sets = fps.groupBy("fp", "second").agg(F.count("*").alias("n")).join(roots, ["fp", "second"], "left")
+    sets = stash(sets.where((F.col("n") > 1) | F.col("component").isNotNull()).withColumn("component", F.coalesce("component", F.struct("fp", "second"))).drop("n"), "sets")
+    rows = stash(fps.select("doc", "text_hash", "fp", "second").join(sets, ["fp", "second"]).select("doc", "text_hash", "component"), "rows")
+    # written out, so that the join has an exchange on either side and Spark can split a large component
+    first = stash(rows.groupBy("component").agg(F.min(F.struct("doc", "text_hash")).alias("first")), "first")
+    marked = rows.join(first, "component").groupBy("doc", "text_hash", (F.struct("doc", "text_hash") == F.col("first")).alias("stays")).agg(F.count("*").alias("n"))
+    marked = stash(marked.where(~F.col("stays") | (F.col("n") > 1)).drop("n"), "marked")
+    own = [unused(docs, x) for x in ("doc", "hash", "stays")]
+    told = docs.withColumns(dict(zip(own, key))).join(joinable(marked.toDF(*own)), own[:2], "left")
+    # a row that stays may occur more than once; only those need a comparison
+    once, more = told.where(F.col(own[2]).isNull()), told.where(F.col(own[2]))
     return once.unionByName(more.dropDuplicates(own[:2])).select(*docs.columns)
 
 
