@@ -50,6 +50,29 @@ def drop_stash(df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Bytes that a side of a join may have to be broadcast, at 8 for each field.
+BROADCAST = 16 << 20
+
+
+def joinable(df: DataFrame) -> DataFrame:
+    """A written-out table of numbers as a side of a join with whole documents: broadcast if its rows, which are counted, are few, so that
+    the documents needn't be shuffled; hashed in each partition otherwise."""
+    return F.broadcast(df) if df.count() * 8 * len(df.columns) <= BROADCAST else df.hint("shuffle_hash")
+
+
+#: Tables that tasks fill and later tasks of the same Python worker use again.
+_TABLES: list[dict] = []
+
+
+def keep_table(own: dict | None = None) -> None:
+    """Empties this worker's tables but for the task's own: a worker keeps those of one operator at a time."""
+    for x in _TABLES:
+        if x is not own:
+            x.clear()
+    if own is not None and not any(x is own for x in _TABLES):
+        _TABLES.append(own)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case of letters."""
     taken = {x.lower() for x in df.columns}

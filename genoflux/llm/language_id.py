@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, table
+from .common import crc_mod, keep_table, slices, table
 
 #: Labelled rows for each language, and characters taken from each.
 SAMPLE, SLICE = 400, 600
@@ -117,6 +117,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], names: tuple[str,
     told = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICTIONARIES bytes
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_table()
         model = Classifier(told.value)
         for b in slices(batches):
             found = [model.classify(x) for x in b.column("text").to_pylist()]

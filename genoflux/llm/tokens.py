@@ -18,8 +18,10 @@ from itertools import filterfalse, islice
 import numpy as np
 import public_tokenizers
 
+from .common import keep_table
+
 #: Bytes, as estimated, after which a worker's table of encoded chunks starts afresh.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: New chunks that the library gets at once; each takes some hundred bytes until it is done.
 NEW_CHUNKS = 8192
 #: Bytes of an entry beside its text and ids: two objects and their places in the dict.
@@ -51,6 +53,10 @@ class Encoder(dict):
         self.by_words = name.startswith("word")
         self.size = 0
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
     def plain(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -123,7 +129,6 @@ class Encoder(dict):
                 out.append((self.plain(c[0]) if c[0] else b"") + b"".join(map(get, c[1:])))
         if self.size > CACHE_BYTES:
             self.clear()
-            self.size = 0
         for x in [x for x in new if len(x) > CACHE_CHARS]:
             self.pop(x, None)
         return out
@@ -136,4 +141,5 @@ def encoder(name: str) -> Encoder:
     """This worker's encoder."""
     if name not in _ENCODERS:
         _ENCODERS[name] = Encoder(name)
+    keep_table(_ENCODERS[name])
     return _ENCODERS[name]
