@@ -59,7 +59,7 @@ def test_cached_encoding_is_exact(texts, name):
 
 
 def test_cache_is_bounded(monkeypatch):
-    monkeypatch.setattr("genoflux.llm.tokens.CACHE_ENTRIES", 10)
+    monkeypatch.setattr("genoflux.llm.tokens.CACHE_BYTES", 5000)
     e = encoder("word_bpe_49k.json")
     for k in range(5):
         e.encode([" ".join(f"z{k}{i}" for i in range(40))])
@@ -107,18 +107,90 @@ def test_decontamination(spark):
     other = words(rng, 40)
     items = spark.createDataFrame([(1, item), (2, other), (3, None), (4, ""), (5, "too short"), (6, other), (7, "one two three four five six seven")], "item_id bigint, text string")
     changed = item.replace("12", "19").replace("30", "55").replace("45", "80")
-    clash = item.replace("45 dollars", "45 pounds").replace("30 dollars", "30 grams")
-    rows = [(1, words(rng, 60) + " " + item), (2, changed), (3, words(rng, 200)), (4, words(rng, 9) + "\n" + other + " " + words(rng, 9)), (5, None), (6, ""), (7, "one two three four five six seven"), (4, words(rng, 9) + " " + other), (8, "one two three four five six"), (None, item)]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("item_id", F.lit("x"))
+    rows = [(1, words(rng, 60) + " " + item), (2, changed), (3, words(rng, 200)), (4, words(rng, 9) + "\n" + other + " " + words(rng, 9)), (5, None), (6, ""), (7, "one two three four five six seven"), (4, words(rng, 9) + " " + other), (8, "one two three four five six"), (9, "Too short!"), (10, "this is too short"), (None, item)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({x: F.lit("x") for x in ("item_id", "hit_id", "hit_hash", "family", "text_hash")})
     found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.matches(d, items).collect()}
-    assert set(found) == {(1, 1), (2, 1), (4, 2), (7, 7), (None, 1)}
+    assert set(found) == {(1, 1), (2, 1), (4, 2), (4, 6), (7, 7), (9, 5), (None, 1)}
     assert found[2, 1]["n_changed"] == 3 and found[1, 1]["n_changed"] == 0
     by_shuffle = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(d, items, most_filter=0).collect()}
     assert by_shuffle == set(found)
     kept = decontaminate.decontaminate(d, items)
-    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 8]
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6, 8, 10]
     assert decontaminate.matches(empty(d), items).count() == 0 and decontaminate.matches(d, empty(items)).count() == 0
-    del clash
+
+
+def brute_readings(text):
+    """Lists of (code, plain word, is a slot), of each reading."""
+    words, starts = [], True
+    for w in text.split():
+        plain = re.sub(r"^[\W_]+|[\W_]+$", "", w)
+        if plain:
+            words.append((plain, starts))
+            starts = w.rstrip("\"')]»”’")[-1:] in tuple(".!?:")
+        else:
+            starts = w[-1:] in tuple(".!?")
+    out = []
+    for reading in range(3):
+        row, number = [], False
+        for plain, starts in words:
+            low, digit = plain.lower(), plain[0].isdigit()
+            kind = "#" if digit else "u" if number and low in decontaminate.UNITS else "n" if plain[0].isupper() and (reading == 1 or not starts) else None
+            number = digit
+            row.append((kind if kind and reading < 2 else " " + low, low, bool(kind) and reading < 2))
+        out.append(row)
+    return out
+
+
+def brute_matches(doc, item):
+    """Numbers of windows, slots and changed slots of the best diagonal, or None."""
+    best, read, usual = None, brute_readings(doc), False
+    for reading, i in enumerate(brute_readings(item)):
+        n, d = min(13, len(i)), read[reading]
+        usual |= reading < 2 and n >= 5 and any(sum(not s for _, _, s in i[at : at + n]) >= 5 for at in range(len(i) - n + 1))
+        if reading == 2 and usual:
+            continue
+        if not n or (n < 5 and (reading < 2 or len(d) != n)):
+            continue
+        for diagonal in range(-len(i), len(d)):
+            value, windows, fits = {}, 0, True
+            for at in range(len(i) - n + 1):
+                x, lo = i[at : at + n], at + diagonal
+                y = d[lo : lo + n] if lo >= 0 else []
+                # a document's window may be of either reading
+                if any([c for c, _, _ in x] == [c for c, _, _ in z[lo : lo + n]] for z in (read[2:] if reading == 2 else read[:2]) if lo >= 0) and (reading == 2 or sum(not s for _, _, s in x) >= min(5, n)):
+                    windows += 1
+                    fits &= all(value.setdefault(a, b) == b for (_, a, s), (_, b, _) in zip(x, y) if s)
+            if windows and fits:
+                best = max(best or (0, 0, 0), (windows, len(value), sum(a != b for a, b in value.items())))
+    return best
+
+
+def reparameterised(rng):
+    """Two questions of one template, which have other names, numbers and units; and the same words shuffled."""
+    nouns, verbs = ["apples", "crates", "tickets", "letters", "stamps", "bottles"], ["sells", "carries", "counts", "paints", "moves"]
+    frame = [rng.choice(["{A}", "Yesterday {A}", "In spring {A}"]), rng.choice(verbs), "{x}", rng.choice(nouns), "in", "{y}", "{u},", "while", "{B}", rng.choice(verbs), "{z}", rng.choice(nouns) + ".", "How", "many", rng.choice(nouns), "does", "{A}", "have", "after", "that", rng.choice(["day", "week", "trip"]), "altogether?"]
+    fill = lambda: " ".join(frame).format(**dict(zip("ABxyzu", [*rng.sample(["Alice", "Bob", "Maria", "John", "Wei", "Noor"], 2), *rng.sample(range(2, 99), 3), rng.choice(["minutes", "hours", "days"])])))
+    return fill(), fill()
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    pairs = [reparameterised(rng) for _ in range(25)]
+    shared = "this question has one correct answer among those which are listed below it here so choose with care"
+    items = [a for a, _ in pairs] + [f"{shared} and item {k} has a different end" for k in range(70)] + [pairs[0][0], "Alice has 12 apples and gives 5 to Bob every day", "ALL CAPITALS ARE NAMES IN EVERY READING OF THIS", "4 5 6", "", None, "too short", words(rng, 500)]
+    before = ["we were told, ", "", words(rng, 30) + " "]
+    texts = [rng.choice(before) + b + rng.choice(["", " " + words(rng, 20)]) for _, b in pairs] + [words(rng, 50), f"so {shared} or else", "we were told, Alice has 12 apples and gives 5 to Bob every day", "Maria has 7 apples and gives 3 to John every day", "all capitals are names in every reading of this", "Too short.", "4 5 6", "4 5 7", "", None]
+    texts += [words(rng, 6000) + " " + items[0] + " " + words(rng, 3000) + " " + items[-1], texts[0]]
+    ids = list(range(len(texts) - 1)) + [0]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_slots"], r["n_changed"]) for r in decontaminate.matches(docs, bench).collect()}
+    want = {(d, i): m for d, t in zip(ids, texts) for i, x in enumerate(items) if t and x and len(t) < 5000 and (m := brute_matches(t, x))}
+    assert {k: v for k, v in got.items() if k[0] != len(texts) - 2} == want
+    assert {i for d, i in got if d == len(texts) - 2} == {0, len(items) - 1} | {i for i, x in enumerate(items) if x == items[0]} | {i for i, x in enumerate(items) if x and brute_matches(items[0], x)}
+    assert all((k, k) in got for k in range(25))  # every other parameterisation is found
+    kept = {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert kept == {d for d in ids if d not in {a for a, _ in got}}
 
 
 def test_slots_must_be_consistent(spark):
@@ -157,6 +229,29 @@ def test_language(spark, docs):
     assert all(0 <= r["score"] <= 1 for r in rows.values()) and all(r["spans"] == "clash" for r in rows.values())
     assert language_id.learn(docs) == {} and language_id.classify(docs, {}).where("lang_pred <> 'und'").count() == 0
     assert language_id.classify(empty(docs), model).count() == 0
+    judge = language_id.Classifier(model)
+    for t in ("½ ² ①", "12 345", "Ⅷ ⑳ ³", "_ _"):  # no letter
+        assert judge.classify(t) == ("und", 0.0, True)
+    assert language_id.reduced("Ab½c ①d नमस्ते x²") == "ab c d नमस त x".encode()
+    # every text by itself, blocks compressed one by one with one dictionary after the other
+    langs = sorted(model)
+    for r in told.limit(40).collect():
+        raw = " ".join("".join(c if c.isalpha() else " " for c in r["text"].lower()).split()).encode()
+        if len(raw) >= language_id.SHORT:
+            sizes = {x: sum(len(judge.squeeze[i](raw[k : k + 512])) for k in range(0, len(raw), 512)) for i, x in enumerate(langs)}
+            assert r["lang_pred"] == min(langs, key=lambda x: (sizes[x], x))
+    long = " ".join(r["text"] for r in table.where("lang = 'de' and n_chars > 500").limit(60).collect()) * 8
+    assert judge.classify(long)[0] == "de"
+    names = ("l", "s", "r")
+    kept = language_id.classify(docs.withColumn("lang_pred", F.lit("own")).withColumn("rejected", F.lit(7)), model, names)
+    assert {(r["lang_pred"], r["score"], r["rejected"]) for r in kept.collect()} == {("own", 1.0, 7)}
+
+
+def test_dictionaries_take_all_parts():
+    parts = [b"a" * n for n in (5, 600, 600, 40, 600)]
+    assert language_id.evenly(parts, 10_000) == parts
+    cut = language_id.evenly(parts, 1000)
+    assert len(b"\n".join(cut)) <= 1000 and all(cut) and cut[0] == parts[0] and len({len(x) for x in cut if len(x) > 40}) == 1
 
 
 # 4
@@ -312,10 +407,36 @@ def test_toxicity(spark, docs):
     edge = toxicity.score(docs, field).collect()
     assert len(edge) == docs.count() and all(0 <= r["score"] <= 1 for r in edge)
     assert toxicity.learn(t, labels.limit(0)) is None
+    long = "word " * 300_000
+    scorer = toxicity.Scorer(field)
+    assert abs(scorer.score(long)[0] - scorer.score("")[0]) < 0.2 and scorer.score(long)[1] == []
     assert toxicity.score(docs, None).agg(F.max("score")).first()[0] == 0
     assert toxicity.score(empty(docs), field).count() == 0
 
 
+def test_training_minimises_its_loss():
+    rng = np.random.default_rng(3)
+    rows = [([(int(t), [int(rng.integers(3))], bool(rng.random() < 0.5)) for t in sorted(rng.choice(10, 3, replace=False))], 12, bool(rng.random() < 0.6), int(rng.integers(1, 4))) for _ in range(30)]
+    stretches = toxicity.Stretches(3, rows)
+    theta = rng.normal(size=8)
+    value, gradient = stretches.loss(theta)
+    for i in range(8):
+        step = np.eye(8)[i] * 1e-5
+        assert abs((stretches.loss(theta + step)[0] - stretches.loss(theta - step)[0]) / 2e-5 - gradient[i]) < 1e-6
+    best = toxicity.minimum(stretches.loss, theta, 100)
+    assert 0 <= stretches.loss(best)[0] < value and np.abs(stretches.loss(best)[1]).max() < 1e-3
+    # all labellings of a stretch of three words, one by one
+    tokens, step = [(0, [0], True), (2, [1], False)], np.exp(theta[4:].reshape(2, 2))
+    one = toxicity.Stretches(3, [(tokens, 3, True, 1)])
+    weight = {}
+    for labels in [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]:
+        w = 1.0
+        for t, y in enumerate(labels):
+            w *= step[labels[t - 1] if t else 0, y] * np.exp(y * (theta[3] + sum(theta[f] for p, fs, _ in tokens if p == t for f in fs)))
+        weight[labels] = w
+    assert abs(one.loss(theta)[0] - (-np.log(weight[1, 0, 0] / sum(weight.values())) + toxicity.PENALTY / 2 * theta @ theta)) < 1e-9
+
+
 def test_forward_backward_is_exact():
     rng = np.random.default_rng(1)
     steps = rng.normal(size=(2, 2))
@@ -404,6 +525,31 @@ def test_secrets(spark):
     assert secret_scan.scan(empty(d)).count() == 0
 
 
+def test_novelty_looks_at_the_whole_line_and_at_letters(spark):
+    rng, scanner = random.Random(10), secret_scan.Scanner()
+    draw = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    novel = lambda t: [t[a:z] for k, a, z in scanner.scan(t) if k == "novel"]
+    found = 0
+    for _ in range(100):
+        own = draw(letters + "0123456789", 24)
+        assert novel(f"value {own} {'and so on ' * 20}is the session credential") == [own]  # after it, far away
+        assert novel(f"private\n{own}\nprivate") == []  # on other lines
+        found += novel(f"the app password of this device: {(x := draw(letters, 16))}") == [x]
+    assert found >= 90
+    words = "Donaudampfschifffahrtsgesellschaft internationalization_of_everything getUserDefaultConfiguration SessionAuthenticationProviderFactory uncharacteristically"
+    assert novel(f"the secret of {words}") == []
+    assert len(novel("x " * 200_000 + f"auth {draw(letters, 30)} " + "y " * 200_000)) == 1
+
+
+def test_names_of_the_documents(spark):
+    secret = "qXvBzmKwpLcRtZjsYdhNcFgQ"
+    texts = [f"call load_training_batch and fooBarBaz then {i}" for i in range(4)] + ["call rare_name once"] * 5 + [f"the private key {secret}_{secret[::-1]} again {i}" for i in range(9)] + [None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert secret_scan.learn(d).split() == [b"load_training_batch", b"fooBarBaz"]  # of three texts; neither random nor of one text
+    assert secret_scan.learn(empty(d)) == b""
+
+
 # 8
 
 
@@ -439,6 +585,29 @@ def brute_removed(raws, length, keep_first=False):
     return marks
 
 
+def test_previous_factors():
+    for seed in range(40):
+        rng = random.Random(seed)
+        length, alphabet = rng.choice([1, 2, 3, 5, 8, 12, 20, 37, 200]), range(rng.choice([1, 2, 3, 250]))
+        base, raws = bytes(rng.choice(alphabet) for _ in range(length + 30)), []
+        for _ in range(rng.randrange(1, 6)):
+            x = bytearray(base[rng.randrange(10) :][: length + rng.randrange(20)]) if rng.random() < 0.6 else bytearray(rng.choice(alphabet) for _ in range(length + rng.randrange(15)))
+            if rng.random() < 0.4:
+                x[rng.randrange(len(x))] = rng.choice(alphabet)
+            raws.append(bytes(x))
+        order = rng.sample(range(len(raws)), len(raws))
+        places = [(order[b], p, b) for b in range(len(raws)) for p in range(len(raws[b]) - length + 1)]
+        got = substrings.previous_factors(np.frombuffer(b"".join(raws), np.uint8), np.array([len(x) for x in raws]), np.array(order), length)
+        shared = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+        for i, (o, p, b) in enumerate(places):
+            own = raws[b][p:]
+            want = max((shared(own, raws[c][q:]) for u, q, c in places if (u, q) < (o, p)), default=0)
+            assert (got[0][i], got[1][i], got[2][i]) == (b, p, want)
+            if want:
+                u, q, c = places[got[3][i]]
+                assert (u, q) < (o, p) and shared(own, raws[c][q:]) == want
+
+
 @pytest.mark.parametrize("most", [4096, 1])
 @pytest.mark.parametrize("keep_first", [False, True])
 def test_substrings(spark, texts, most, keep_first):
