@@ -1,6 +1,7 @@
 """The corpus pipeline: stages applied to ``documents`` one after the other, each written as Parquet and read again.
 
-Language ID drops documents whose language is uncertain; SimHash near-deduplication keeps one document of each group;
+Language ID drops documents whose language is uncertain; near-deduplication by SimHash, and by minima for pairs beyond its radius, counts
+every link and keeps one document of each group;
 decontamination drops documents that hold a benchmark item; secret scans mask what they find; packing returns the pieces.
 """
 
@@ -23,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: SimHash by covering masks, then minima for what differs in more bits, then counted shingles."""
     return simhash.representatives(docs)
 
 

@@ -1,12 +1,14 @@
 """Near-duplicates by words: links between texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates are texts that share one of ``BANDS`` fingerprints, each made of ``MINIMA`` minima of differently hashed shingles.  Two
-minima are equal with a probability that is the similarity itself, whatever was added, cut off or changed, so of pairs at 0.8
-one in 12,000 shares no fingerprint, and fewer above.
+Candidates are first the texts whose SimHash fingerprints, of the same shingles, hang together: operator 4 links them by its covering
+masks, and each of its components is a key.  At 0.8 two SimHashes differ in 10 of 64 bits on average, which lies beyond its radius.
+For those pairs there are ``BANDS`` more keys, each made of ``MINIMA`` minima of differently hashed shingles.  Two minima are equal with a
+probability that is the similarity itself, whatever was added, cut off or changed, so of pairs at 0.8 one in 12,000 shares no key, and
+fewer above.
 
 Every link is then counted: candidates that hang together are a cluster, the shingles of a cluster's texts meet in one task, and
 it returns a spanning forest of the pairs that reach 0.8.  In clusters of over ``MOST`` texts or ``WEIGHT`` shingles the texts of each
-fingerprint meet instead; where these are too many as well, they are cut into blocks, and each pair of blocks meets.
+key meet instead; where these are too many as well, they are cut into blocks, and each pair of blocks meets.
 
 Texts with the same set are one from the start.  A word is letters and digits in lower case; fewer than five are one shingle;
 texts without a word are alike.
@@ -15,7 +17,7 @@ texts without a word are alike.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +64,7 @@ def name(own: np.ndarray) -> tuple[int, int]:
 
 
 def band_keys(own: np.ndarray) -> np.ndarray:
-    """The fingerprints of a set of shingles; none if it is empty."""
+    """The keys of a set of shingles by its minima; none if it is empty."""
     if not len(own):
         return own
     least = np.full(BANDS * MINIMA, 0xFFFFFFFF, np.uint32)
@@ -111,22 +113,24 @@ def forest(values: np.ndarray, sizes: np.ndarray, side: np.ndarray) -> list[tupl
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc, text_hash, the name (fp, second) of the set of shingles, its size and fingerprints, of rows (doc, text_hash, text)."""
+def fingerprints(docs: DataFrame, simhash: Callable[[Iterable[int], int], int]) -> DataFrame:
+    """doc, text_hash, the name (fp, second) of the set of shingles, its size, keys and simhash (of hashes and their number), of rows (doc, text_hash, text)."""
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_table()
         for b in slices(batches):
-            names, sizes, keys = [], [], []
+            names, sizes, keys, sims = [], [], [], []
             for text in b.column("text").to_pylist():
                 own = shingles(text)
                 names.append(name(own))
                 sizes.append(len(own))
                 keys.append(band_keys(own).view(np.int64))
+                sims.append(simhash(own.tolist(), len(own)))
             fp, second = (pa.array(np.array([x[i] for x in names], np.uint64).view(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text_hash"), fp, second, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "text_hash", *_KEY, "size", "keys"])
+            sim = pa.array(np.array(sims, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text_hash"), fp, second, pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), sim], names=["doc", "text_hash", *_KEY, "size", "keys", "sim"])
 
-    return docs.mapInArrow(task, "doc bigint, text_hash bigint, fp bigint, second bigint, size bigint, keys array<bigint>")
+    return docs.mapInArrow(task, "doc bigint, text_hash bigint, fp bigint, second bigint, size bigint, keys array<bigint>, sim bigint")
 
 
 def _shingled(texts: DataFrame) -> DataFrame:
@@ -173,18 +177,20 @@ def _counted(rows: DataFrame, unit: list[str]) -> DataFrame:
     return dealt.mapInArrow(task, "a struct<fp: bigint, second: bigint>, b struct<fp: bigint, second: bigint>")
 
 
-def links(docs: DataFrame, fps: DataFrame, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
-    """Links (a, b) between sets (fp, second) of fps, whose components are those of all similar candidates; docs are (doc, text_hash, text)."""
-    first = F.min(F.struct("doc", "text_hash", "size", "keys")).alias("first")
+def links(docs: DataFrame, fps: DataFrame, alike: DataFrame, most: int = MOST, weight: int = WEIGHT) -> DataFrame:
+    """Links (a, b) between sets (fp, second) of fps, whose components are those of all similar candidates; docs are (doc, text_hash, text),
+    alike are SimHash fingerprints (id) with their component, but for those that are alone or are a component's id."""
+    first = F.min(F.struct("doc", "text_hash", "size", "keys", "sim")).alias("first")
     sets = stash(fps.where(F.col("size") > 0).groupBy(*_KEY).agg(first).select(*_KEY, "first.*"), "sets")
-    dealt = sets.select(*_KEY, F.explode("keys").alias("kept"))
+    near = sets.select(*_KEY, F.col("sim").alias("id")).join(alike, "id", "left").select(*_KEY, F.xxhash64(F.coalesce("component", "id")).alias("kept"))
+    dealt = sets.select(*_KEY, F.explode("keys").alias("kept")).union(near)
     # written out, so that the join has an exchange on either side and Spark can split a large bucket
     several = stash(dealt.groupBy("kept").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("kept"), "several")
     shared = stash(dealt.join(several, "kept"), "buckets")
     pivots = stash(shared.groupBy("kept").agg(F.min(F.struct(*_KEY)).alias("pivot")), "pivots")
     found = components(shared.join(pivots, "kept").select(F.struct(*_KEY).alias("a"), F.col("pivot").alias("b")))
     found = stash(found.union(found.select(F.col("component").alias("id"), "component").distinct()).select("id.*", "component"), "candidates")
-    member = sets.drop("keys").join(found, _KEY)
+    member = sets.drop("keys", "sim").join(found, _KEY)
     counts = member.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     counts = stash(counts.select("component", ((F.col("n") > most) | (F.col("w") > weight)).alias("large")), "clusters")
     member = stash(member.join(counts, "component"), "members")
@@ -192,7 +198,7 @@ def links(docs: DataFrame, fps: DataFrame, most: int = MOST, weight: int = WEIGH
     unit = ["x", "y", "i", "j"]
     zero = F.lit(0).cast("bigint")
     small = member.where(~F.col("large")).select(F.col("component.fp").alias("x"), F.col("component.second").alias("y"), (zero - 1).alias("i"), zero.alias("j"), zero.alias("side"), *_KEY)
-    # of large clusters, the texts of each fingerprint; those that several fingerprints share alike meet once
+    # of large clusters, the texts of each key; those that several keys share alike meet once
     again = shared.join(member.where("large").select(*_KEY, "size"), _KEY)
     whole = again.groupBy("kept").agg(F.count("*").alias("m"), F.sum("size").alias("w"), F.bit_xor(F.xxhash64(*_KEY)).alias("h"), F.bit_xor("fp").alias("g"))
     whole = whole.groupBy("m", "w", "h", "g").agg(F.min("kept").alias("kept"))

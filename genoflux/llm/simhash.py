@@ -11,7 +11,8 @@ stretches of the positions that the table ignores, of which a pair within the ra
 large is cut into blocks and each pair of blocks is a group of its own.  Each group returns a spanning forest of
 its links, not all pairs, which keeps every component whole.
 
-``representatives`` finds near-duplicates by words, at a similarity of 0.8 or more over five-word shingles: see ``near_copies``.
+``representatives`` finds near-duplicates by words, at a similarity of 0.8 or more over five-word shingles: the components of their
+SimHash fingerprints are its first candidates, ``near_copies`` adds pairs that differ in more bits, and counts every link.
 
 Defined cases: texts without a word (null, empty) have fingerprint zero and link like any other; fewer words than a shingle
 are one shingle; repeated rows have one class; a null doc_id takes part, and is a component's id only if all its
@@ -186,8 +187,10 @@ def representatives(docs: DataFrame, most: int = near_copies.MOST, weight: int =
     Of rows that are the same in doc_id and text, one stays."""
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")]
     texts = docs.select(*key, F.col("text").cast("string").alias("text"))
-    fps = stash(near_copies.fingerprints(texts), "fingerprints")
-    roots = components(near_copies.links(texts, fps, most, weight)).select("id.*", "component")
+    fps = stash(near_copies.fingerprints(texts, majority), "fingerprints")
+    distinct = stash(fps.where(F.col("size") > 0).select(F.col("sim").alias("fp")).distinct(), "distinct")
+    alike = components(links(distinct))
+    roots = components(near_copies.links(texts, fps, alike, most, weight)).select("id.*", "component")
     roots = roots.unionByName(roots.select("component.*", "component").distinct())
     # rows of sets that have a component or another row
     sets = fps.groupBy("fp", "second").agg(F.count("*").alias("n")).join(roots, ["fp", "second"], "left")

@@ -393,6 +393,28 @@ def test_links_of_near_copies_are_counted(spark, most):
     assert all(jaccard(texts[a], texts[b]) >= 0.8 for a, b in links) and len(links) == len(texts) - 33
 
 
+@pytest.mark.parametrize("most", [2048, 2])
+def test_simhash_gives_near_copies_without_minima(spark, most):
+    """Without the keys of minima, the covering masks alone lead to the pairs within the radius; each is counted."""
+    rng, texts = random.Random(14), []
+    for _ in range(30):
+        text = words(rng, 500, 5000).split()
+        texts += [" ".join(text), " ".join([*text[:200], "other", *text[201:]])]
+    fps = [simhash.majority(x.tolist(), len(x)) for x in map(near_copies.shingles, texts)]
+    within = {k for k in range(0, 60, 2) if (fps[k] ^ fps[k + 1]).bit_count() <= 3}
+    assert len(within) > 10
+    d = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc bigint, text_hash bigint, text string")
+    marked = near_copies.fingerprints(d, simhash.majority)
+    assert [r["sim"] % 2**64 for r in marked.orderBy("doc").collect()] == fps
+    alike = components.components(simhash.links(marked.select(F.col("sim").alias("fp")).distinct()))
+    found = near_copies.links(d, marked.withColumn("keys", F.array().cast("array<bigint>")), alike, most, 10**6 if most == 2048 else 900)
+    doc = {(r["fp"], r["second"]): r["doc"] for r in marked.collect()}
+    assert {min(doc[tuple(r["a"])], doc[tuple(r["b"])]) for r in found.collect()} == within
+    # fingerprints that are called alike by mistake make candidates, but no link
+    unlike = spark.createDataFrame([(fps[k] - (fps[k] >> 63 << 64), 5) for k in range(0, 60, 2)], "id bigint, component bigint")
+    assert near_copies.links(d, marked.withColumn("keys", F.array().cast("array<bigint>")), unlike, most, 10**6 if most == 2048 else 900).count() == sum(fps[k] == fps[k + 1] for k in range(0, 60, 2))
+
+
 # 5
 
 
