@@ -12,7 +12,7 @@ from ..functions import distributions as draw
 from ..operators import ancestry, frames, genotypes, maps, matrix, popgen, spatial, vectors
 from ..sources import fasta, ms, state, text, vcf
 from ..streaming.ticklog import TickLog
-from .queries import _B, _G, _MRCA, _NEAR, _SEQ, Tables, V, _grid, _mrcas, _near, _sequences, _tree, query, r
+from .queries import _B, _G, _MRCA, _NEAR, _SEQ, Tables, V, _grid, _mrcas, _sequences, _tree, query, r
 
 # ---- functions
 
@@ -355,9 +355,9 @@ def counts_of_asked_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def distances_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of individuals to the next one by id, infinite beyond the radius."""
     t = Tables(spark, sf_dir)
-    p = t.points.select("ind_id")
-    asked = p.withColumn("e_ind_id", F.col("ind_id") + 1).join(p.select(F.col("ind_id").alias("e_ind_id")), "e_ind_id", "left_semi")
-    return spatial.interaction_distance(asked, _near(t)).select("ind_id", "e_ind_id", F.when(F.col("d") < math.INF, F.round("d", 9)).otherwise(math.INF).alias("d"))
+    p = t.points.select("ind_id", "x", "y")
+    asked = p.select("ind_id", (F.col("ind_id") + 1).alias("e_ind_id")).join(p.select(F.col("ind_id").alias("e_ind_id")), "e_ind_id", "left_semi")
+    return spatial.interaction_distance(asked, p, p, 0.05).select("ind_id", "e_ind_id", F.when(F.col("d") < math.INF, F.round("d", 9)).otherwise(math.INF).alias("d"))
 
 
 @query(V + "SELECT count(*) AS n_neighbors FROM points WHERE sqrt(x * x + y * y) <= 0.2")

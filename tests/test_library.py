@@ -182,6 +182,24 @@ def test_neighbors_against_brute_force(spark):
     assert spatial.reflected(full.withColumn("x", F.lit(1.2)), {"x": (0.0, 1.0)}).first()["x"] == pytest.approx(0.8)
 
 
+def test_interaction_distances_of_asked_pairs(spark):
+    """As many rows as are asked for, also where everything lies within the radius of everything."""
+    rng = random.Random(2)
+    pts = [(i, rng.random(), rng.random()) for i in range(60)] + [(60, None, 0.5), (61, float("nan"), 0.5)]
+    d = spark.createDataFrame(pts, "ind_id bigint, x double, y double")
+    asked = [(i, j) for i in range(0, 64, 3) for j in range(0, 64, 2)]
+    q = spark.createDataFrame(asked, "ind_id bigint, e_ind_id bigint")
+    for periods in ({}, {"x": 1.0}):
+        gap = lambda a, b: min(abs(a - b), 1 - abs(a - b)) if periods else abs(a - b)
+        far = lambda a, b: math.sqrt(gap(a[1], b[1]) ** 2 + (a[2] - b[2]) ** 2)
+        want = {(i, j): far(pts[i], pts[j]) if i != j and max(i, j) < 60 and far(pts[i], pts[j]) <= 0.4 else math.inf for i, j in asked}
+        got = spatial.interaction_distance(q, d, d, 0.4, periods=periods).collect()
+        assert {(r["ind_id"], r["e_ind_id"]): r["d"] for r in got} == pytest.approx(want) and len(got) == len(asked)
+    one_place = spark.range(50_000).select(F.col("id").alias("ind_id"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    pairs = one_place.select("ind_id", ((F.col("ind_id") + 1) % 50_000).alias("e_ind_id"))
+    assert spatial.interaction_distance(pairs, one_place, one_place, 0.1).where("d = 0").count() == 50_000
+
+
 def brute_relatedness(a, b, ped):
     def rel(x, y):
         if x[0] < 0 or y[0] < 0:
