@@ -596,7 +596,8 @@ def neighbor_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_NEAR + "SELECT ind_id, e_ind_id, place FROM (SELECT ind_id, e_ind_id, row_number() OVER (PARTITION BY ind_id ORDER BY d, e_ind_id) AS place FROM near) WHERE place <= 3")
 def nearest_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spatial.nearest(_near(Tables(spark, sf_dir), salt=2), 3).select("ind_id", "e_ind_id", "place")
+    p = Tables(spark, sf_dir).points
+    return spatial.nearest_within(p, p, 3, 0.05).select("ind_id", "e_ind_id", "place")
 
 
 for _kind, _args, _sql in (("f", (2.0,), "2.0 + 0 * d"), ("l", (2.0,), "2.0 * (1 - d / 0.05)"), ("e", (2.0, 40.0), "2.0 * exp(-40 * d)"), ("n", (2.0, 0.02), "2.0 * exp(-d * d / (2 * 0.02 * 0.02))"), ("c", (2.0, 0.02), "2.0 / (1 + pow(d / 0.02, 2))"), ("t", (2.0, 3.0, 0.02), "2.0 * pow(1 + pow(d / 0.02, 2) / 3, -2)")):

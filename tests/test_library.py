@@ -200,6 +200,29 @@ def test_interaction_distances_of_asked_pairs(spark):
     assert spatial.interaction_distance(pairs, one_place, one_place, 0.1).where("d = 0").count() == 50_000
 
 
+def test_nearest_within_against_brute_force(spark):
+    """Clusters, copies, ties, points on cells' edges and missing coordinates; and many points at one place, which no pairs could be made of."""
+    rng = random.Random(5)
+    near = lambda c, w: (c[0] + rng.gauss(0, w), c[1] + rng.gauss(0, w))
+    pts = [near((0.3, -0.2), 10.0**-k) for k in range(1, 9) for _ in range(25)] + [(rng.random(), rng.random()) for _ in range(60)] + [(0.25 * i, 0.125 * j) for i in range(5) for j in range(5)] + [(0.5, 0.5)] * 9
+    rng.shuffle(pts)
+    rows = [(i, *p) for i, p in enumerate(pts)] + [(900, None, 0.1), (901, float("nan"), 0.1), (902, 40.0, 40.0), (903, -0.0, 0.0)]
+    schema = "ind_id bigint, x double, y double"
+    d, few = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::3], schema)
+    for exerters, given, k, radius, halvings in ((d, rows, 3, 0.25, 16), (few, rows[::3], 1, 0.3, 16), (few, rows[::3], 6, 5.0, 3)):
+        want = set()
+        for i, x, y in rows:
+            if x is not None:
+                found = sorted((math.sqrt((x - u) ** 2 + (y - v) ** 2), j) for j, u, v in given if u is not None and j != i)
+                found = sorted((a, j) for a, j in found if a <= radius)
+                want |= {(i, j, n) for n, (_, j) in enumerate(found[:k], 1)}
+        got = [tuple(r) for r in spatial.nearest_within(d, exerters, k, radius, halvings=halvings).select("ind_id", "e_ind_id", "place").collect()]
+        assert set(got) == want and len(got) == len(want)
+    one_place = spark.range(30_000).select(F.col("id").alias("ind_id"), F.lit(0.5).alias("x"), F.lit(0.5).alias("y"))
+    got = spatial.nearest_within(one_place, one_place, 3, 0.1)
+    assert got.groupBy().agg(F.count("*"), F.max("e_ind_id")).first()[:] == (90_000, 3)
+
+
 def brute_relatedness(a, b, ped):
     def rel(x, y):
         if x[0] < 0 or y[0] < 0:
