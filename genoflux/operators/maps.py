@@ -125,24 +125,33 @@ def summarize(points: DataFrame, grid: Grid, operation: Column, empty: Column |
 
 
 def uniform_points_on(df: DataFrame, grid: Grid, seed: int, key: str, tries: int = 32, rounds: int = 1000) -> DataFrame:
-    """Points drawn in bounds and accepted with the map's value as their probability; rows that no try settles draw again, and again."""
+    """Points drawn in bounds and accepted with the map's value as their probability; rows that no try settles draw again, and again.
+
+    A round makes few tries first, then up to ``tries``; the first accepted try counts, in whichever round it is made."""
     from ..functions.distributions import uniform
     from ..sources.state import fresh
 
     x0, y0, x1, y1 = grid.bounds
-    todo, settled = df.select(key), []
-    for k in range(rounds):
-        draw = lambda t: F.struct(F.lit(t).alias("t"), (x0 + (x1 - x0) * uniform(seed, key, stream=3 * t)).alias("x"), (y0 + (y1 - y0) * uniform(seed, key, stream=3 * t + 1)).alias("y"), uniform(seed, key, stream=3 * t + 2).alias("u"))
-        rows = todo.select(key, F.explode(F.array(*[draw(t) for t in range(k * tries, (k + 1) * tries)])).alias("r")).select(key, "r.*")
+    t = F.col("t")
+    x, y = x0 + (x1 - x0) * uniform(seed, key, stream=3 * t), y0 + (y1 - y0) * uniform(seed, key, stream=3 * t + 1)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    todo, settled, done, step = df.select(key), [], 0, min(4, tries)
+    while done < rounds * tries:
+        upto = min(done + step, rounds * tries)
+        # a table of few files is few tasks, so rows are spread before each becomes several
+        rows = todo.repartition(parts, key).select(key, F.explode(F.sequence(F.lit(done), F.lit(upto - 1))).alias("t"))
+        rows = rows.select(key, "t", x.alias("x"), y.alias("y"), uniform(seed, key, stream=3 * t + 2).alias("u"))
         good = grid.nearest_values(rows).where(F.col("u") < F.col("map_value"))
-        settled.append(fresh(good.groupBy(key).agg(F.min_by(F.struct("x", "y"), "t").alias("p")), "points"))
+        settled.append(fresh(good.groupBy(key).agg(F.min("t").alias("t")), "points"))
         todo = fresh(todo.join(settled[-1], key, "left_anti"), "unsettled")
         if todo.isEmpty():
             break
+        done, step = upto, min(2 * step, tries)
     else:
         raise ValueError(f"the map's values are too small: some points weren't accepted in {rounds * tries} tries")
     first = reduce(DataFrame.unionByName, settled)
-    return df.drop("x", "y").join(first, key).select(*[c for c in df.columns if c not in ("x", "y")], "p.x", "p.y")
+    first = first.select(key, x.alias("x"), y.alias("y"))
+    return df.drop("x", "y").join(first, key).select(*[c for c in df.columns if c not in ("x", "y")], "x", "y")
 
 
 def improved_nearby(points: DataFrame, grid: Grid, seed: int, key: str, sd: float) -> DataFrame:

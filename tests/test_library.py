@@ -223,6 +223,35 @@ def test_nearest_within_against_brute_force(spark):
     assert got.groupBy().agg(F.count("*"), F.max("e_ind_id")).first()[:] == (90_000, 3)
 
 
+def test_points_on_a_map_spread_their_rows(spark):
+    """The first accepted try of each row, and no task makes the tries of a whole table that lies in one file."""
+    from genoflux.operators import maps
+
+    cells = spark.range(36).select((F.col("id") % 6).alias("i"), F.expr("id div 6").alias("j"))
+    grid = maps.Grid(cells.withColumn("value", F.when(F.col("i") >= 3, 0.05 + 0.9 * F.col("j") / 5).otherwise(0.0)), 6, 6, (0.0, -1.0, 1.0, 1.0))
+    d = spark.range(0, 300, 1, 1).select((F.col("id") * 7).alias("k"), F.lit("own").alias("x"), F.lit(True).alias("more"))
+    got = {r["k"]: (r["x"], r["y"]) for r in maps.uniform_points_on(d, grid, 3, "k").collect()}
+    tries = d.select("k", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("t"))
+    tries = tries.select("k", "t", *[draw.uniform(3, "k", stream=3 * F.col("t") + s).alias(n) for s, n in enumerate("xyu")])
+    want = {}
+    for r in tries.orderBy("k", "t").collect():
+        i, j = math.floor(r["x"] * 5 + 0.5), math.floor(r["y"] * 2 * 2.5 + 0.5)
+        if r["k"] not in want and i >= 3 and r["u"] < 0.05 + 0.9 * j / 5:
+            want[r["k"]] = (r["x"], -1 + 2 * r["y"])
+    assert len(want) == 300 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert maps.uniform_points_on(d.limit(0), grid, 3, "k").columns == ["k", "more", "x", "y"]
+    with pytest.raises(ValueError):
+        maps.uniform_points_on(d, grid, 3, "k", 3, 1)
+    seen = []
+    real = maps.Grid.nearest_values
+    try:
+        maps.Grid.nearest_values = lambda self, rows, *a: seen.append(max(rows.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())) or real(self, rows, *a)
+        maps.uniform_points_on(d, grid, 3, "k")
+    finally:
+        maps.Grid.nearest_values = real
+    assert seen[0] <= 300 * 4 / 2
+
+
 def brute_relatedness(a, b, ped):
     def rel(x, y):
         if x[0] < 0 or y[0] < 0:
