@@ -167,7 +167,9 @@ def densities_special(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1.0)
-    return Tables(spark, sf_dir).values.select("idx", draw.runif(1, "idx").alias("runif"), draw.rdunif(1, "idx", low=1, high=6).alias("rdunif"), draw.rdunif64(1, "idx").alias("rdunif64"), draw.rnorm(1, "idx").alias("rnorm"), draw.rlnorm(1, "idx").alias("rlnorm"), draw.rexp(1, "idx").alias("rexp"), draw.rcauchy(1, "idx").alias("rcauchy"), draw.rlaplace(1, "idx").alias("rlaplace"), draw.rweibull(1, "idx").alias("rweibull"), draw.rgeom(1, "idx").alias("rgeom"), draw.rgamma(1, "idx", mean=one, shape=one * 2).alias("rgamma"), draw.rbeta(1, "idx", alpha=one, beta=one * 2).alias("rbeta"), draw.rf(1, "idx", d1=one * 3, d2=one * 9).alias("rf"), draw.rbinom(1, "idx", size=F.lit(10), prob=one / 2).alias("rbinom"), draw.rpois(1, "idx", lam=one * 3).alias("rpois"), draw.rnbinom(1, "idx", size=one * 3, prob=one / 2).alias("rnbinom"), draw.rztpois(1, "idx", lam=one / 2).alias("rztpois"), draw.rdirichlet(1, "idx", alpha=F.array(one, one)).alias("rdirichlet"), draw.rmultinom(1, "idx", size=F.lit(5), prob=F.array(one, one * 3)).alias("rmultinom"), draw.rmvnorm(1, "idx", mu=F.array(one, one), sigma=F.array(one, one * 0, one * 0, one)).alias("rmvnorm"))
+    # a table of few files is few tasks, and a row of draws is far more work than moving its id
+    rows = Tables(spark, sf_dir).values.select("idx").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "idx")
+    return rows.select("idx", draw.runif(1, "idx").alias("runif"), draw.rdunif(1, "idx", low=1, high=6).alias("rdunif"), draw.rdunif64(1, "idx").alias("rdunif64"), draw.rnorm(1, "idx").alias("rnorm"), draw.rlnorm(1, "idx").alias("rlnorm"), draw.rexp(1, "idx").alias("rexp"), draw.rcauchy(1, "idx").alias("rcauchy"), draw.rlaplace(1, "idx").alias("rlaplace"), draw.rweibull(1, "idx").alias("rweibull"), draw.rgeom(1, "idx").alias("rgeom"), draw.rgamma(1, "idx", mean=one, shape=one * 2).alias("rgamma"), draw.rbeta(1, "idx", alpha=one, beta=one * 2).alias("rbeta"), draw.rf(1, "idx", d1=one * 3, d2=one * 9).alias("rf"), draw.rbinom(1, "idx", size=F.lit(10), prob=one / 2).alias("rbinom"), draw.rpois(1, "idx", lam=one * 3).alias("rpois"), draw.rnbinom(1, "idx", size=one * 3, prob=one / 2).alias("rnbinom"), draw.rztpois(1, "idx", lam=one / 2).alias("rztpois"), draw.rdirichlet(1, "idx", alpha=F.array(one, one)).alias("rdirichlet"), draw.rmultinom(1, "idx", size=F.lit(5), prob=F.array(one, one * 3)).alias("rmultinom"), draw.rmvnorm(1, "idx", mu=F.array(one, one), sigma=F.array(one, one * 0, one * 0, one)).alias("rmvnorm"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, contains(text, 'the') AS has_the, CAST(instr(text, 'an') - 1 AS BIGINT) AS at_an, starts_with(text, 'T') AS starts, ends_with(text, '.') AS ends, CAST(len(string_split(text, ' ')) AS BIGINT) AS parts, substr(text, 3, 5) AS part, regexp_matches(text, '[0-9]+') AS has_digit FROM documents")

@@ -252,6 +252,27 @@ def test_points_on_a_map_spread_their_rows(spark):
     assert seen[0] <= 300 * 4 / 2
 
 
+def test_seeds_of_a_batch_are_numpys(spark):
+    """Every row's state is that of a generator of its own, and so is what it draws."""
+    import numpy as np
+
+    seeds = np.array([0, 1, 5, 2**32 - 1, 2**32, 2**63 - 1, *np.random.default_rng(1).integers(0, 2**63 - 1, 500)], np.uint64)
+    assert list(draw._states(seeds)) == [np.random.PCG64(int(x)).state for x in seeds]
+    assert list(draw._states(seeds[:0])) == []
+    one, sigma = F.lit(1.0), [[2.0, 0.5], [0.5, 1.0]]
+    d = spark.range(300).select(
+        F.xxhash64(F.lit(4).cast("bigint"), F.lit(7), "id").alias("h"),
+        draw.rgamma(4, "id", mean=one, shape=one * 2).alias("g"),
+        draw.rbinom(4, "id", size=F.lit(10), prob=one / 2).alias("b"),
+        draw.rmultinom(4, "id", size=F.lit(5), prob=F.array(one, one * 3)).alias("m"),
+        draw.rmvnorm(4, "id", mu=F.array(one, one * 2), sigma=F.array(*[F.lit(x) for r in sigma for x in r])).alias("v"),
+    )
+    for r in d.collect():
+        own = lambda: np.random.default_rng(r["h"] & (1 << 63) - 1)  # noqa: B023, E731
+        assert r["g"] == own().gamma(2.0, 0.5) and r["b"] == own().binomial(10, 0.5) and r["m"] == own().multinomial(5, [0.25, 0.75]).tolist()
+        assert r["v"] == pytest.approx(own().multivariate_normal([1.0, 2.0], sigma, method="cholesky").tolist(), rel=1e-12)
+
+
 def brute_relatedness(a, b, ped):
     def rel(x, y):
         if x[0] < 0 or y[0] < 0:
