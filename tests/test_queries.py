@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
     assert sorted(want.columns) == columns
     order = [want.columns.index(c) for c in columns]
     assert got == sorted(repr(tuple(norm(r[i]) for i in order)) for r in want.fetchall())
+
+
+def test_draws_are_made_by_several_tasks(spark):
+    """Though the events lie in one file."""
+    from pyspark.sql import functions as F
+
+    assert QUERIES["draws"](spark, SF).select(F.spark_partition_id()).distinct().count() > 1
