@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from genoflux.llm import components, decontaminate, language_id, near_copies, packing, quality, secret_scan, simhash, substrings, token_blocks, token_counts, toxicity
-from genoflux.llm.tokens import encoder
+from genoflux.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score double"
 SF = "/root/testdata/sf0.001"
@@ -66,6 +66,30 @@ def test_cache_is_bounded(monkeypatch):
     assert len(e) < 200
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_chunks_are_encoded_together(monkeypatch, name):
+    e, plain, alone = Encoder(name), Encoder.plain, []
+    monkeypatch.setattr(Encoder, "plain", lambda self, text: alone.append(text) or plain(self, text))
+    new = ["".join(random.Random(k).choices("abcdefghijklmn", k=9)) for k in range(900)]
+    batch = [f"{a.capitalize()} {b}*** {c}.%%%\n{b.capitalize()} {a},\n{c}" for a, b, c in zip(new, new[300:], new[600:])]
+    got = e.encode(batch)
+    assert len(alone) < 10, "the library is called for single chunks"
+    assert got == [plain(e, x) for x in batch]
+
+
+def test_marks_after_letters_that_normalise_to_a_mark():
+    e = encoder("word_bpe_49k.json")
+    for text in ("\u0130. b", "a\u0130*** b", "\u0915\u0958, x", "\ufb2a! y", "e\u0301. z", "\u0141. \u0447."):
+        assert e.encode([text]) == [e.plain(text)], repr(text)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_without_chunks(name):
+    e = encoder(name)
+    assert e.encode([]) == [] and e.encode([None, ""]) == [b"", b""]
+    assert e.encode(["a\0b", None, " ", "\n", " a", "\na"]) == [e.plain("a\0b"), b"", *map(e.plain, (" ", "\n", " a", "\na"))]
+
+
 # 1
 
 
