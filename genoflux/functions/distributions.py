@@ -76,8 +76,22 @@ def rgeom(seed, *key, p=0.5) -> Column:
     return F.when(q >= 1, F.lit(0)).otherwise(F.floor(F.ln(uniform(seed, *key)) / F.ln(1 - F.least(q, F.lit(1 - 1e-16))))).cast("bigint")
 
 
-def _states(seeds: np.ndarray) -> Iterator[dict]:
-    """The states of PCG64(seed) for each seed below 2 ** 63: numpy's seeding, of all seeds at once.
+def _times(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of 128 bits, in halves, times PCG64's multiplier."""
+    m_hi, m_lo, half, low = *map(np.uint64, (0x2360ED051FC65DA4, 0x4385DF649FCCF645)), np.uint64(32), np.uint64(0xFFFFFFFF)
+    a, b, c, d = lo >> half, lo & low, m_lo >> half, m_lo & low
+    ad, bc, bd = a * d, b * c, b * d
+    carry = (bd >> half) + (ad & low) + (bc & low)
+    return hi * m_lo + lo * m_hi + a * c + (ad >> half) + (bc >> half) + (carry >> half), lo * m_lo
+
+
+def _plus(hi: np.ndarray, lo: np.ndarray, more_hi: np.ndarray, more_lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = lo + more_lo
+    return hi + more_hi + (total < lo), total
+
+
+def _seeded(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The states and increments of PCG64(seed), in halves, for each seed below 2 ** 63: numpy's seeding, of all seeds at once.
 
     A test compares them with numpy's own, which takes longer for one seed than most draws do."""
     word = lambda x: np.uint32(x & 0xFFFFFFFF)
@@ -101,20 +115,50 @@ def _states(seeds: np.ndarray) -> Iterator[dict]:
     for i in range(8):
         v, const = hashed(pool[i % 4], const, 0x58F38DED)
         out.append(v.astype(np.uint64))
-    most = (1 << 128) - 1
-    for a, b, c, d in zip(*((out[i] | out[i + 1] << np.uint64(32)).tolist() for i in range(0, 8, 2))):
-        inc = (c << 64 | d) << 1 & most | 1
-        yield {"bit_generator": "PCG64", "state": {"state": ((inc + (a << 64 | b)) * 0x2360ED051FC65DA44385DF649FCCF645 + inc) & most, "inc": inc}, "has_uint32": 0, "uinteger": 0}
+    a, b, c, d = (out[i] | out[i + 1] << np.uint64(32) for i in range(0, 8, 2))
+    one = np.uint64(1)
+    inc = c << one | d >> np.uint64(63), d << one | one
+    return *_plus(*_times(*_plus(*inc, a, b)), *inc), *inc
+
+
+def _states(seeds: np.ndarray) -> Iterator[dict]:
+    """The states of PCG64(seed) for each seed below 2 ** 63, as a generator takes them."""
+    for hi, lo, inc_hi, inc_lo in zip(*(x.tolist() for x in _seeded(seeds))):
+        yield {"bit_generator": "PCG64", "state": {"state": hi << 64 | lo, "inc": inc_hi << 64 | inc_lo}, "has_uint32": 0, "uinteger": 0}
+
+
+def _poisson(seeds: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """What Generator(PCG64(seed)).poisson(lam) draws, for means from 0 to less than 10, of all rows at once.
+
+    numpy counts how many uniforms can be multiplied until their product is no more than exp(-lam)."""
+    n, rows = np.zeros(len(seeds), np.int64), np.flatnonzero(lam > 0)
+    means, which = np.unique(lam[rows], return_inverse=True)
+    least = np.array([math.exp(-x) for x in means])[which]
+    hi, lo, *inc = (x[rows] for x in _seeded(seeds))
+    product = np.ones(len(rows))
+    while len(rows):
+        hi, lo = _plus(*_times(hi, lo), *inc)
+        turn, bits = hi >> np.uint64(58), hi ^ lo
+        bits = bits >> turn | bits << (np.uint64(64) - turn & np.uint64(63))
+        product *= (bits >> np.uint64(11)) * (1 / (1 << 53))
+        on = product > least
+        rows, least, hi, lo, product, *inc = (x[on] for x in (rows, least, hi, lo, product, *inc))
+        n[rows] += 1
+    return n
+
 
+def _drawn(returns: T.DataType, draw, at_once=None):
+    """draw(generator, *parameters), with the generator in the state that each row's hash seeds.
 
-def _drawn(returns: T.DataType, draw):
-    """draw(generator, *parameters), with the generator in the state that each row's hash seeds."""
+    at_once(seeds, *parameters) draws the same for a whole batch, or gives None for a batch that it isn't for."""
 
     @F.pandas_udf(returns)
     def udf(h: pd.Series, *args: pd.Series) -> pd.Series:
         g, out = np.random.Generator(np.random.PCG64(0)), []
-        bits = g.bit_generator
-        for state, *a in zip(_states(h.to_numpy(np.int64).view(np.uint64) & np.uint64((1 << 63) - 1)), *args):
+        bits, seeds = g.bit_generator, h.to_numpy(np.int64).view(np.uint64) & np.uint64((1 << 63) - 1)
+        if at_once and (made := at_once(seeds, *args)) is not None:
+            return pd.Series(made)
+        for state, *a in zip(_states(seeds), *args):
             bits.state = state
             out.append(draw(g, *a))
         return pd.Series(out)
@@ -145,7 +189,7 @@ rgamma = _drawn(T.DoubleType(), lambda g, mean, shape: math.copysign(1, mean) *
 rbeta = _drawn(T.DoubleType(), lambda g, alpha, beta: g.beta(alpha, beta))
 rf = _drawn(T.DoubleType(), lambda g, d1, d2: g.f(d1, d2))
 rbinom = _drawn(T.LongType(), lambda g, size, prob: int(g.binomial(size, prob)))
-rpois = _drawn(T.LongType(), lambda g, lam: int(g.poisson(lam)))
+rpois = _drawn(T.LongType(), lambda g, lam: int(g.poisson(lam)), lambda seeds, lam: _poisson(seeds, lam.to_numpy(float)) if lam.between(0, 10, inclusive="left").all() else None)
 rnbinom = _drawn(T.LongType(), lambda g, size, prob: int(g.negative_binomial(size, prob)))
 rdirichlet = _drawn(T.ArrayType(T.DoubleType()), lambda g, alpha: g.dirichlet(alpha).tolist())
 rmultinom = _drawn(T.ArrayType(T.LongType()), _multinomial)

@@ -8,11 +8,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as draw
+from ..sources.state import fresh
+from .vectors import before
 
 #: Chromosome types by their fixed codes: autosomes, sex chromosomes and haploid ones.
 CHROMOSOME_TYPES = ("A", "H", "X", "Y", "Z", "W", "HF", "FL", "HM", "ML", "H-", "-Y")
 #: Positions in one bin of an interval join.
 BIN = 1 << 16
+#: Intervals of a map that one task takes; a map of no more is summed in one place, and broadcast.
+TASK_INTERVALS = 1 << 16
+#: Parts of (0, 1) that an interval is dealt to in one array.
+DEALT = 1 << 12
+#: What lies before a row; a window of ranges has few rows, as each stands for many intervals.
+_BEFORE = (Window.unboundedPreceding, -1)
 
 
 def from_starts(rows: DataFrame, last_position: int, scale: float = 1.0, one_based: bool = False) -> DataFrame:
@@ -22,9 +30,21 @@ def from_starts(rows: DataFrame, last_position: int, scale: float = 1.0, one_bas
     return d.select("start", (F.lead("start", 1, last_position + 1).over(Window.orderBy("start")) - 1).alias("end"), "rate")
 
 
+def _ranges(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """rows, of which there are n, with __range, which ascends with order: one range, or some for as many tasks."""
+    if n <= TASK_INTERVALS:
+        return rows.withColumn("__range", F.lit(0))
+    # ranges are sampled, so they are written out before they are used twice
+    return fresh(rows.repartitionByRange(-(-n // TASK_INTERVALS), order).withColumn("__range", F.spark_partition_id()), "intervals")
+
+
 def from_ends(rows: DataFrame) -> DataFrame:
-    """Intervals of rows (end, rate), by one window over a map, which is small."""
-    return rows.select((F.coalesce(F.lag("end").over(Window.orderBy("end")), F.lit(-1)) + 1).cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), F.col("rate").cast("double").alias("rate"))
+    """Intervals of rows (end, rate): each starts after the one before, which for the first of a range ends the ranges before it."""
+    d = _ranges(rows.select(F.col("end").cast("bigint").alias("end"), F.col("rate").cast("double").alias("rate")), "end", rows.count())
+    tops = d.groupBy("__range").agg(F.max("end").alias("__top"))
+    tops = tops.select("__range", F.max("__top").over(Window.orderBy("__range").rowsBetween(*_BEFORE)).alias("__ahead"))
+    own = d.withColumn("__own", F.lag("end").over(Window.partitionBy("__range").orderBy("end")))
+    return own.join(F.broadcast(tops), "__range").select((F.coalesce("__own", "__ahead", F.lit(-1)) + 1).cast("bigint").alias("start"), "end", "rate")
 
 
 def at_positions(points: DataFrame, intervals: DataFrame, position: str = "position", how: str = "left", width: int = BIN) -> DataFrame:
@@ -49,19 +69,60 @@ def multiply_maps(rates: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def cumulative(intervals: DataFrame) -> DataFrame:
-    """Adds lo and hi, the shares of the map's total rate before and up to each interval."""
-    weight = (F.col("end") - F.col("start") + 1) * F.col("rate")
-    w = Window.orderBy("start")
-    d = intervals.where(F.col("rate") > 0).withColumn("__w", weight).withColumn("__to", F.sum("__w").over(w)).withColumn("__all", F.sum("__w").over(Window.partitionBy()))
-    return d.withColumn("lo", (F.col("__to") - F.col("__w")) / F.col("__all")).withColumn("hi", F.col("__to") / F.col("__all")).drop("__w", "__to", "__all")
-
-
-def draw_positions(events: DataFrame, intervals: DataFrame, seed: int, key: list[str], parts: int = 256) -> DataFrame:
-    """events with a position each, by the rates: the drawn share is looked up in the cumulative map, by equal parts of (0, 1)."""
-    part = lambda x: F.least(F.floor(x * parts), F.lit(parts - 1)).cast("int")
-    c = cumulative(intervals).withColumn("__part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi")))))
-    e = events.withColumn("__u", draw.uniform(seed, *key, stream=3)).withColumn("__part", part(F.col("__u")))
-    j = e.join(c, "__part").where((F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")))
+    """Adds lo and hi, the shares of the map's total rate before and up to each interval; an interval's lo is the hi of the one before, to the bit."""
+    return _shares(intervals, _positive(intervals))
+
+
+def _positive(intervals: DataFrame) -> int:
+    return intervals.where(F.col("rate") > 0).count()
+
+
+def _shares(intervals: DataFrame, n: int) -> DataFrame:
+    """The cumulative map of intervals, n of which have a rate."""
+    d = intervals.where(F.col("rate") > 0).withColumn("__w", (F.col("end") - F.col("start") + 1) * F.col("rate")).where(F.col("__w") > 0)
+    # sums of floats depend on where they are cut, so ranges here are places of the map, and not samples
+    d = d.withColumn("__range", F.lit(0)) if n <= TASK_INTERVALS else before(d, [], [F.col("start")], F.lit(1), "__at").withColumn("__range", F.expr(f"__at div {TASK_INTERVALS}")).drop("__at")
+    w = Window.partitionBy("__range").orderBy("start")
+    less, upto = (F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, x)) for x in (-1, 0))
+    d = d.withColumns({"__before": F.coalesce(less, F.lit(0.0)), "__upto": upto})
+    # the last running sum, and not another sum of the range, so that the next range begins where this one ends
+    sums = d.groupBy("__range").agg(F.max("__upto").alias("__sum"))
+    ahead = F.coalesce(F.sum("__sum").over(Window.orderBy("__range").rowsBetween(*_BEFORE)), F.lit(0.0))
+    sums = sums.select("__range", ahead.alias("__ahead"), (ahead + F.col("__sum")).alias("__end"))
+    sums = sums.select("__range", "__ahead", F.max("__end").over(Window.partitionBy()).alias("__all"))
+    share = lambda x: (F.col("__ahead") + F.col(x)) / F.col("__all")
+    return d.join(F.broadcast(sums), "__range").withColumns({"lo": share("__before"), "hi": share("__upto")}).drop("__range", "__w", "__before", "__upto", "__ahead", "__all")
+
+
+def _part(share: Column, parts: int) -> Column:
+    return F.least(F.floor(share * parts), F.lit(parts - 1)).cast("bigint")
+
+
+def _dealt(shares: DataFrame, parts: int) -> DataFrame:
+    """A cumulative map's intervals, in each __part of (0, 1) that they touch: as many rows as intervals and parts together, at most.
+
+    An interval with most of the rates is in most of the parts, so it is dealt to them by arrays of a bounded length."""
+    c = shares.select("start", "end", "lo", "hi", _part(F.col("lo"), parts).alias("__from"), _part(F.col("hi"), parts).alias("__to"))
+    c = c.withColumn("__first", F.explode(F.sequence(F.col("__from") - F.col("__from") % DEALT, F.col("__to"), F.lit(DEALT).cast("bigint"))))
+    own = F.sequence(F.greatest("__from", "__first"), F.least("__to", F.col("__first") + (DEALT - 1)))
+    return c.withColumn("__part", F.explode(own)).drop("__from", "__to", "__first")
+
+
+def draw_positions(events: DataFrame, intervals: DataFrame, seed: int, key: list[str], parts: int | None = None) -> DataFrame:
+    """events with a position each, by the rates: the drawn share is looked up in the cumulative map, by equal parts of (0, 1).
+
+    There are as many parts as intervals, so that an event meets two intervals on average, wherever the rates are large."""
+    n = _positive(intervals)
+    parts = parts or max(n, 1)
+    c = _dealt(_shares(intervals, n), parts)
+    u = F.least(draw.uniform(seed, *key, stream=3), F.lit(1 - 2.0**-53))  # the largest of these floats is rounded to 1
+    e = events.withColumn("__u", u).withColumn("__part", _part(F.col("__u"), parts))
+    if n + parts <= 2 * TASK_INTERVALS:
+        j = e.join(F.broadcast(c), "__part")
+    else:
+        tasks = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_INTERVALS))
+        j = e.repartition(tasks, "__part").join(c.repartition(tasks, "__part").hint("merge"), "__part")
+    j = j.where((F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")))
     within = (F.col("__u") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     at = F.least(F.col("start") + F.floor(within * (F.col("end") - F.col("start") + 1)), F.col("end"))
     return j.withColumn("position", at.cast("bigint")).select(*events.columns, "position")
@@ -70,7 +131,10 @@ def draw_positions(events: DataFrame, intervals: DataFrame, seed: int, key: list
 def breakpoints(gametes: DataFrame, intervals: DataFrame, expected: float, seed: int, key: str) -> DataFrame:
     """Rows (key, position) of sorted, distinct crossovers: a Poisson number for each gamete, placed by the recombination map."""
     n = draw.rpois(seed, key, lam=F.lit(float(expected)))
-    events = gametes.select(key, n.alias("n")).where(F.col("n") > 0).select(key, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("k"))
+    # a table of few files is few tasks, and a gamete's draws are far more work than moving its key
+    drawn = gametes.select(key).repartition(key).select(key, n.alias("n"))
+    # a gamete without crossovers has a null here; a condition of its own would be moved to before the spread, and draw twice
+    events = drawn.select(key, F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1).cast("bigint"), F.col("n")))).alias("k"))
     return draw_positions(events, intervals, seed, [key, "k"]).select(key, "position").distinct()
 
 

@@ -311,6 +311,59 @@ def test_genome(spark):
     assert [tuple(r) for r in hot.orderBy("start").collect()] == [(0, 24, 0.01), (25, 49, 0.02), (50, 99, 0.06)]
 
 
+def test_positions_on_a_map_of_many_intervals(spark, monkeypatch):
+    """Whatever the rates: several tasks sum the map, it has no gaps, an event meets few of its intervals, and draws are made once."""
+    import numpy as np
+
+    monkeypatch.setattr(genome, "TASK_INTERVALS", 150, raising=False)
+    monkeypatch.setattr(genome, "DEALT", 8, raising=False)
+    ends, n = [10 * i + 9 for i in range(600)], 5_000
+    rates = [(1e-4 if i < 200 else 1e-9) * (i % 7) for i in range(600)]
+    rates[300] = 0.5
+    u = np.array([r["u"] for r in spark.range(n).select("id", draw.uniform(3, "id", stream=3).alias("u")).orderBy("id").collect()])
+    rows = spark.createDataFrame(list(zip(ends, rates)), "end bigint, rate double").repartition(3)
+    made = genome.from_ends(rows)
+    assert sorted(tuple(r) for r in made.collect()) == [(e - 9, e, x) for e, x in zip(ends, rates)]
+    c = genome.cumulative(made)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert len({r["task"] for r in c.select("hi", F.spark_partition_id().alias("task")).collect()}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    start, end, lo, hi = (np.array(x) for x in zip(*c.orderBy("start").select("start", "end", "lo", "hi").collect()))
+    weights = np.array([10 * x for x in rates if x > 0])
+    assert lo[0] == 0 and hi[-1] == 1 and (lo[1:] == hi[:-1]).all() and hi == pytest.approx(np.cumsum(weights) / math.fsum(weights))
+    i = np.searchsorted(hi, u, side="right")
+    want = np.minimum(start[i] + np.floor((u - lo[i]) / (hi[i] - lo[i]) * (end[i] - start[i] + 1)).astype(int), end[i])
+    drawn = genome.draw_positions(spark.range(n), made, 3, ["id"]).orderBy("id").collect()
+    assert [tuple(r) for r in drawn] == list(enumerate(want.tolist()))
+    assert genome._dealt(c, len(weights)).count() <= 2 * len(weights)
+    cuts = genome.breakpoints(spark.range(2000), made, 2.0, 5, "id")
+    assert cuts._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    number = {r["id"]: r["n"] for r in spark.range(2000).select("id", draw.rpois(5, "id", lam=F.lit(2.0)).alias("n")).collect()}
+    events = spark.createDataFrame([(i, k) for i, c in number.items() for k in range(1, c + 1)], "id bigint, k bigint")
+    assert sorted(cuts.collect()) == sorted(genome.draw_positions(events, made, 5, ["id", "k"]).select("id", "position").distinct().collect())
+
+
+def test_positions_on_odd_maps(spark):
+    rows = lambda *r: genome.from_ends(spark.createDataFrame(r, "end bigint, rate double"))
+    place = lambda made: genome.draw_positions(spark.range(50), made, 3, ["id"]).select("position")
+    assert place(rows()).count() == 0 and place(rows((5, 0.0), (9, 0.0))).count() == 0
+    assert {r[0] for r in place(rows((4, 0.0), (5, 0.1), (5, 0.3), (9, 0.0))).collect()} == {5}
+    assert place(rows((999, 0.1))).where("position between 0 and 999").count() == 50
+
+
+def test_poisson_draws_of_a_batch_are_numpys(spark):
+    import numpy as np
+
+    means = [0.0, 1e-12, 0.5, 2.0, 9.999, 10.0, 40.0]
+    for lam in means:
+        d = spark.range(300).select(F.xxhash64(F.lit(4).cast("bigint"), F.lit(7), "id").alias("h"), draw.rpois(4, "id", lam=F.lit(lam)).alias("n"))
+        assert all(r["n"] == np.random.default_rng(r["h"] & (1 << 63) - 1).poisson(lam) for r in d.collect()), lam
+    seeds, lam = np.random.default_rng(1).integers(0, 2**63 - 1, 500).astype(np.uint64), np.linspace(0, 9.9, 500)
+    assert draw._poisson(seeds, lam).tolist() == [np.random.default_rng(int(s)).poisson(x) for s, x in zip(seeds, lam)]
+
+
 def test_ancestry_tables(spark):
     nodes = spark.createDataFrame([(0, 0.0), (1, 0.0), (2, 0.0), (3, 1.0), (4, 2.0), (5, 3.0)], "id bigint, time double")
     edges = spark.createDataFrame([(0.0, 10.0, 3, 0), (0.0, 5.0, 3, 1), (5.0, 10.0, 4, 1), (0.0, 10.0, 4, 3), (0.0, 10.0, 5, 2), (0.0, 10.0, 5, 4)], "left double, right double, parent bigint, child bigint")
